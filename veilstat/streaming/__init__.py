@@ -1,0 +1,6 @@
+"""Reserved: there is no streaming feature to rebuild.
+
+Everything in ``functions/`` is a stateless Column expression, so it can be
+selected from a streaming DataFrame unchanged.  k-anonymity is a property of
+the whole table and is not incremental, so it has no streaming form here.
+"""
