@@ -95,34 +95,40 @@ def violating_records(df: DataFrame, qis: Sequence[str], count: str = "count") -
     return alone.filter(F.col(count) == 1).select(*_cols(df.columns), count)
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Equality on all columns, null equal to null; planned as an equi-join."""
-    pairs = (left[quoted(c)].eqNullSafe(right[quoted(c)]) for c in names)
-    return reduce(lambda a, b: a & b, pairs)
-
-
 def record_class_size(
     df: DataFrame, qis: Sequence[str], name: str = "class_size", at_least: int = 1
 ) -> DataFrame:
     """Every row with the size of its class; ``at_least`` leaves out smaller classes.
 
-    Rows of hot classes meet the broadcast hot sizes where they are read and
-    are never shuffled; the other rows are shuffled to sizes without hot keys.
     """
     if not qis:
         total = df.agg(F.count(F.lit(1))).scalar()
         return df.withColumn(name, total).filter(F.col(name) >= at_least)
-    sizes = class_sizes(df, qis, name)
-    total = sizes.agg(F.sum(name)).scalar()
-    hot = sizes.filter(F.col(name) * HOT_SHARE > total)
-    rest = sizes.filter((F.col(name) * HOT_SHARE <= total) & (F.col(name) >= at_least))
-
-    def sized(rows: DataFrame, table: DataFrame) -> DataFrame:
-        keyed = table.select(*[F.col(quoted(c)).alias(f"_q{i}") for i, c in enumerate(qis)], name)
-        on = [F.col(quoted(c)).eqNullSafe(F.col(f"_q{i}")) for i, c in enumerate(qis)]
-        joined = rows.join(keyed, reduce(lambda a, b: a & b, on), "inner")
-        return joined.select(*_cols(df.columns), name)
-
-    hot_rows = sized(df, F.broadcast(hot)).filter(F.col(name) >= at_least)
-    other = df.join(F.broadcast(hot), null_safe(df, hot, qis), "left_anti")
-    return hot_rows.unionByName(sized(other, rest))
+    joined = join_by_class(df, class_sizes(df, qis, name), qis, name)
+    return joined.filter(F.col(name) >= at_least)
+
+
+def join_by_class(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], size: str
+) -> DataFrame:
+    """Inner join of rows with a table of their classes, null equal to null.
+
+    ``table`` has one row per class: the keys, the number of its rows, and what
+    else is wanted. A class that holds many rows must not become one task, so
+    the rows of hot classes meet a broadcast where they are read. Fewer than
+    ``HOT_SHARE`` classes can be hot; the rest is shuffled without hot keys.
+    """
+    total = table.agg(F.sum(size)).scalar()
+    is_hot = F.col(size) * HOT_SHARE > total
+    extra = [c for c in table.columns if c not in set(keys)]
+    renamed = [F.col(quoted(c)).alias(f"_key{i}") for i, c in enumerate(keys)]
+    on = reduce(
+        lambda a, b: a & b,
+        [F.col(quoted(c)).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)],
+    )
+    hot = F.broadcast(table.filter(is_hot).select(*renamed, *extra))
+    rest = table.filter(~is_hot).select(*renamed, *extra)
+    columns = [*_cols(df.columns), *_cols(extra)]
+    hot_rows = df.join(hot, on, "inner").select(*columns)
+    other_rows = df.join(hot, on, "left_anti").join(rest, on, "inner").select(*columns)
+    return hot_rows.unionByName(other_rows)

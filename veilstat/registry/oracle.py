@@ -17,7 +17,7 @@ def _list(values) -> str:
 
 
 def _r(expr: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0"
+    return f"round({expr} + 1e-9, {digits}) + 0.0"
 
 
 WS = lx.WS_CLASS
@@ -353,3 +353,31 @@ FEATURES = "f AS (SELECT doc_id, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for
 FILLED = "g AS (SELECT doc_id, " + ", ".join(f"coalesce({n}, (SELECT median({n}) FROM f)) AS {n}" for n in _F) + " FROM f)"
 ORACLE["median_impute"] = _docs(f"SELECT doc_id, {_cols({n: n for n in _F})} FROM g", COUNTS, FEATURES, FILLED)
 ORACLE["zscore"] = _docs(f"SELECT doc_id, {', '.join(_z(n, n, 'g') for n in _F)} FROM g", COUNTS, FEATURES, FILLED)
+
+# --- neighbours and clusters ------------------------------------------------------------------------------------
+PAIRS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+  pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_distance(a.x, b.x) AS d
+    FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+  any1 AS (SELECT a, b, d FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1),
+  same1 AS (SELECT a, b, d FROM pairs WHERE la = lb QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1)"""
+ORACLE["nearest_overall"] = (
+    f"WITH {PAIRS} SELECT vec_id, b AS neighbor, {_r('d', 4)} AS distance FROM e LEFT JOIN any1 ON a = vec_id"
+)
+ORACLE["nearest_same_cluster"] = (
+    f"WITH {PAIRS} SELECT vec_id, b AS neighbor, {_r('d', 4)} AS distance FROM e LEFT JOIN same1 ON a = vec_id"
+)
+ORACLE["nearest_neighbors"] = f"""WITH {PAIRS} SELECT vec_id, label AS cluster_label, s.b AS nearest_same_type,
+  round(s.d, 4) AS dist_same_type, o.b AS nearest_overall, round(o.d, 4) AS dist_overall
+  FROM e LEFT JOIN same1 s ON s.a = vec_id LEFT JOIN any1 o ON o.a = vec_id"""
+ORACLE["cluster_prototypes"] = f"""WITH {PAIRS},
+  dims AS (SELECT vec_id, label, unnest(x) AS v, unnest(range(len(x))) AS i FROM e),
+  means AS (SELECT label, i, avg(v) AS m FROM dims GROUP BY label, i),
+  away AS (SELECT vec_id, dims.label, sqrt(sum((v - m) * (v - m))) AS r FROM dims JOIN means USING (label, i) GROUP BY ALL),
+  proto AS (SELECT label, vec_id FROM away QUALIFY row_number() OVER (PARTITION BY label ORDER BY r, vec_id) = 1)
+  SELECT label AS cluster_label, vec_id AS prototype, b AS prototype_nearest_same, round(d, 4) AS distance
+  FROM proto LEFT JOIN same1 ON a = vec_id"""
+ORACLE["silhouette"] = f"""WITH {PAIRS},
+  sums AS (SELECT a, la, lb, sum(d * d) AS s, count(*) AS n FROM pairs GROUP BY a, la, lb),
+  per AS (SELECT a, max(CASE WHEN la = lb THEN s / n END) AS own, min(CASE WHEN la <> lb THEN s / n END) AS other
+    FROM sums GROUP BY a)
+  SELECT {_r("avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END)")} AS silhouette FROM per"""

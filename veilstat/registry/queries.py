@@ -12,7 +12,9 @@ from veilstat.functions import pages as pg
 from veilstat.functions import text as tx
 from veilstat.operators import classes as cl
 from veilstat.operators import features as ft
+from veilstat.operators import learn as ln
 from veilstat.operators import lexical as lex
+from veilstat.operators import neighbors as nb
 from veilstat.operators import suppress as sp
 from veilstat.plans import corpus as cp
 from veilstat.plans import deid
@@ -35,8 +37,12 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Doubles rounded, and negative zero turned to zero."""
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
+    """Doubles rounded, for comparison with another engine.
+
+    Values like 12.0325625 come out one bit apart in two engines and would
+    round to both sides, so halves are led upwards. Negative zero becomes zero.
+    """
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, digits) + 0.0 for c in columns})
 
 
 # --- classes and suppression -------------------------------------------------------
@@ -367,7 +373,9 @@ def _document_features(spark: SparkSession, sf: str) -> DataFrame:
     docs = v.documents(spark, sf)
     out = cp.readability_exact(docs, "doc_id")
     gap = F.when(F.col("n_words") >= 20, F.col("ari"))
-    return out.withColumn("ari", gap).select("doc_id", "n_words", "n_sents", "coleman_liau", "ari")
+    with_gaps = out.withColumn("ari", gap).select("doc_id", "n_words", "n_sents", "coleman_liau", "ari")
+    # Read several times by the medians; much smaller than the texts.
+    return cut_lineage(with_gaps)
 
 
 _FEATURES = ["n_words", "n_sents", "coleman_liau", "ari"]
@@ -382,3 +390,58 @@ def median_impute(spark: SparkSession, sf: str) -> DataFrame:
 def zscore(spark: SparkSession, sf: str) -> DataFrame:
     features = ft.median_impute(_document_features(spark, sf), _FEATURES)
     return rounded(ft.zscore(features, _FEATURES), *_FEATURES)
+
+
+# --- neighbours and clusters -------------------------------------------------------------------------
+
+
+@query
+def nearest_overall(spark: SparkSession, sf: str) -> DataFrame:
+    out = nb.nearest(v.table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return rounded(out, "distance", digits=4)
+
+
+@query
+def nearest_same_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    out = nb.nearest(v.table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+    return rounded(out, "distance", digits=4)
+
+
+@query
+def nearest_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    return nb.neighbor_report(v.table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query
+def cluster_prototypes(spark: SparkSession, sf: str) -> DataFrame:
+    return nb.prototype_report(v.table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query
+def silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    value = ln.silhouette(v.table(spark, sf, "embeddings"), "embedding", "label")
+    out = spark.range(1).select(F.lit(value).cast("double").alias("silhouette"))
+    return rounded(out, "silhouette")
+
+
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """The embedding as columns."""
+    vectors = v.table(spark, sf, "embeddings")
+    dims = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"x{i}" for i in range(dims)]
+    return vectors.select("vec_id", *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)]), names
+
+
+@query
+def pca2(spark: SparkSession, sf: str) -> DataFrame:
+    wide, names = _vectors(spark, sf)
+    points = ln.project(ft.zscore(wide, names), "vec_id", names)
+    out = points.select("vec_id", F.col("point")[0].alias("pc1"), F.col("point")[1].alias("pc2"))
+    return rounded(out, "pc1", "pc2")
+
+
+@query
+def kmeans4(spark: SparkSession, sf: str) -> DataFrame:
+    wide, names = _vectors(spark, sf)
+    points = ln.project(ft.zscore(wide, names), "vec_id", names)
+    return ln.cluster(points, "point", restarts=5).select("vec_id", "cluster_label")
