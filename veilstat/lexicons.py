@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 # --- fixed values: whitespace ------------------------------------------------
-# Unicode whitespace, as a regex class readable by Java and RE2 alike.
-WS_CLASS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NON_WS_CLASS = "[^" + WS_CLASS[1:]
+# Every character that counts as whitespace.
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"

@@ -20,9 +20,9 @@ def _r(expr: str, digits: int = 6) -> str:
     return f"round({expr} + 1e-9, {digits}) + 0.0"
 
 
-WS = lx.WS_CLASS
-WSI = WS[1:-1]
-NWS = lx.NON_WS_CLASS + "+"
+WSI = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[{WSI}]"
+NWS = f"[^{WSI}]+"
 QIS = ", ".join(v.QIS)
 VIEWS = f"qi AS (SELECT {v.QI} FROM customer), qi_wide AS (SELECT {v.QI_WIDE} FROM customer)"
 SIZES = f"sizes AS (SELECT {QIS}, count(*) AS n FROM qi GROUP BY {QIS})"

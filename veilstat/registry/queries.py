@@ -239,7 +239,9 @@ def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _words(lexicon: DataFrame) -> DataFrame:
-    return lex.word_list(lexicon.filter(F.col("zipf") >= EASY_ZIPF), zipf=lexicon)
+    """Frequent words count as easy; syllables are counted once per word of the list."""
+    easy = F.when(F.col("zipf") >= EASY_ZIPF, True)
+    return lexicon.select("word", "zipf", easy.alias("easy"), tx.syllables(F.col("word")).alias("syllables"))
 
 
 @query
@@ -293,12 +295,12 @@ def corpus_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
-    return v.table(spark, sf, "pages").select("page_id", *[e.alias(c) for c, e in columns.items()])
+    return v.pages(spark, sf).select("page_id", *[e.alias(c) for c, e in columns.items()])
 
 
 @query
 def html_sniff(spark: SparkSession, sf: str) -> DataFrame:
-    pages = v.table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
+    pages = v.pages(spark, sf).select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
     docs = v.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     return pages.unionByName(docs).select(
         "id", pg.is_html(F.col("text")).cast("int").alias("is_html"), pg.text_or_html(F.col("text")).alias("text")
@@ -327,7 +329,7 @@ def url_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_to_document(spark: SparkSession, sf: str) -> DataFrame:
-    return sc.pages_to_documents(v.table(spark, sf, "pages"), "page_id")
+    return sc.pages_to_documents(v.pages(spark, sf), "page_id")
 
 
 # --- snapshots and history ---------------------------------------------------------------------

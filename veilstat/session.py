@@ -47,3 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so later jobs start from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal out a table read in fewer tasks than there are cores.
+
+    Text work is bound by the processor. Only an input of a few file splits is
+    moved; a large table has splits enough and stays where it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
