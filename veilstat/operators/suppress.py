@@ -93,37 +93,33 @@ def greedy_column_suppression(
     while k < target_k and current:
         top = max(cardinality[c] for c in current)
         trials = [c for c in current if cardinality[c] == top]
-        best = _best_trial(classes, current, trials)
-        current.remove(best["name"])
-        k = best["k"]
+        outcome = _trial_outcomes(classes, current, trials)
+        # A table without rows has no groups to report.
+        best = min(trials, key=lambda c: (-outcome.get(c, (0, 0))[0], outcome.get(c, (0, 0))[1], c))
+        k, n_classes = outcome.get(best, (0, 0))
+        current.remove(best)
         classes = cut_lineage(
             classes.groupBy(*[quoted(c) for c in current]).agg(F.sum("n").alias("n"))
         )
         steps.append(
-            GreedyStep(len(steps) + 1, best["name"], top, k, best["groups"], ",".join(current))
+            GreedyStep(len(steps) + 1, best, top, k, n_classes, ",".join(current))
         )
     return GreedyResult([s.dropped for s in steps], k, current, steps)
 
 
-def _best_trial(classes: DataFrame, current: list[str], trials: list[str]):
-    """Leave out each trial column in turn: one grouping set per trial."""
+def _trial_outcomes(
+    classes: DataFrame, current: list[str], trials: list[str]
+) -> dict[str, tuple[int, int]]:
+    """Column left out -> (k, number of classes): one grouping set per column."""
     cols = [F.col(quoted(c)) for c in current]
     sets = [[F.col(quoted(x)) for x in current if x != c] for c in trials]
     grouped = classes.groupingSets(sets, *cols).agg(
-        F.grouping_id().alias("_gid"), F.coalesce(F.sum("n"), F.lit(0)).alias("_n")
-    )
-    name = F.lit(None).cast("string")
-    for c in trials:
-        # Only the left-out column is grouped out.
-        gid = 1 << (len(current) - 1 - current.index(c))
-        name = F.when(F.col("_gid") == gid, c).otherwise(name)
-    return (
-        grouped.groupBy("_gid")
-        .agg(F.min("_n").alias("k"), F.count(F.lit(1)).alias("groups"))
-        .select(name.alias("name"), "k", "groups")
-        .orderBy(F.desc("k"), "groups", "name")
-        .first()
+        F.grouping_id().alias("gid"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
     )
+    rows = grouped.groupBy("gid").agg(F.min("n").alias("k"), F.count(F.lit(1)).alias("groups")).collect()
+    # Only the left-out column is grouped out.
+    by_gid = {1 << (len(current) - 1 - current.index(c)): c for c in trials}
+    return {by_gid[r["gid"]]: (r["k"], r["groups"]) for r in rows}
 
 
 def column_suppression(
