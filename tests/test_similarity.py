@@ -3,7 +3,9 @@
 import io
 import math
 import random
+import re
 import statistics
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -11,9 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilstat import lexicons as lx
+from veilstat.operators import classes as cl
 from veilstat.operators import features as ft
 from veilstat.operators import learn as ln
 from veilstat.operators import neighbors as nb
+from veilstat.operators import textsim as ts
 from veilstat.operators.quantiles import exact_quantiles
 from veilstat.plans.similarity import similarity_reports
 
@@ -119,11 +123,13 @@ def brute(points, group):
     return out
 
 
-@pytest.mark.parametrize("group", [None, "g"])
-@pytest.mark.parametrize("dim", [2, 6])
-def test_nearest_matches_brute_force(spark, monkeypatch, group, dim):
+@pytest.mark.parametrize("share", [4096, 2])
+@pytest.mark.parametrize(("group", "dim", "sent"), [(None, 2, 0), ("g", 2, 1 << 26), (None, 6, 1 << 26), ("g", 6, 0)])
+def test_nearest_matches_brute_force(spark, monkeypatch, group, dim, sent, share):
     # Small packs make many cells; a third of the points are copies of one.
     monkeypatch.setattr(nb, "PACK_ROWS", 16)
+    monkeypatch.setattr(nb, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(cl, "HOT_SHARE", share)
     rng = random.Random(dim)
     points = []
     for i in range(400):
@@ -135,6 +141,34 @@ def test_nearest_matches_brute_force(spark, monkeypatch, group, dim):
     assert got == brute(points, group)
 
 
+@pytest.mark.parametrize("rows", [4, None])
+def test_top2_texts_match_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(nb, "PACK_ROWS", rows)
+    rng = random.Random(5)
+    common = [f"common{c}" for c in "abcdefghijklmnop"]
+    texts = {i: " ".join(rng.choices(common, k=rng.randrange(1, 30)) + [f"rare{'xyzuvw'[i % 6]}"]) for i in range(60)}
+    texts |= {100: texts[0], 101: texts[1], 102: texts[1], 103: texts[1], 200: "", 201: "lonely", 202: "the and"}
+    docs = spark.createDataFrame(list(texts.items()), "id int, text string")
+    labels = docs.select("id", F.lit(1).alias("cluster_label"))
+    got = {r["id"]: r for r in ts.top2_neighbors(docs, "id", labels=labels).collect()}
+
+    tf = {i: Counter(re.findall("[a-z]+", t)) for i, t in texts.items()}
+    tf = {i: {w: n for w, n in c.items() if w not in lx.STOPWORDS and len(w) > 2} for i, c in tf.items()}
+    df = Counter(w for c in tf.values() for w in c)
+    vec = {i: {w: n * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in tf.items()}
+    norm = {i: math.sqrt(sum(x * x for x in c.values())) for i, c in vec.items()}
+    for i in texts:
+        sims = []
+        for j in texts:
+            if i != j and (dot := sum(x * vec[j].get(w, 0.0) for w, x in vec[i].items())) > 0:
+                sims.append((round(1 - dot / norm[i] / norm[j], 9), j))
+        want = [(j, pytest.approx(1 - d, abs=6e-5)) for d, j in sorted(sims)[:2]]
+        want += [(None, None)] * (2 - len(want))
+        r = got[i]
+        assert [(r["neighbor_1"], r["sim_1"]), (r["neighbor_2"], r["sim_2"])] == want
+        assert r["cluster_label"] == 1
+
+
 def test_nearest_edges(spark):
     schema = "key int, v array<double>"
     assert nb.nearest(spark.createDataFrame([], schema), "key", "v").count() == 0

@@ -381,3 +381,16 @@ ORACLE["silhouette"] = f"""WITH {PAIRS},
   per AS (SELECT a, max(CASE WHEN la = lb THEN s / n END) AS own, min(CASE WHEN la <> lb THEN s / n END) AS other
     FROM sums GROUP BY a)
   SELECT {_r("avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END)")} AS silhouette FROM per"""
+ORACLE["text_top2_neighbors"] = _docs(
+    """SELECT d.doc_id, max(b) FILTER (rn = 1) AS neighbor_1, round(1 - max(far) FILTER (rn = 1), 4) AS sim_1,
+         max(b) FILTER (rn = 2) AS neighbor_2, round(1 - max(far) FILTER (rn = 2), 4) AS sim_2
+       FROM d LEFT JOIN top ON top.a = d.doc_id GROUP BY d.doc_id""",
+    _KEPT,
+    """tf AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS token FROM k) GROUP BY doc_id, token),
+       dfs AS (SELECT token, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY token),
+       raw AS (SELECT doc_id, token, n * idf AS w FROM tf JOIN dfs USING (token)),
+       unit AS (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw),
+       sims AS (SELECT x.doc_id AS a, y.doc_id AS b, round(1 - sum(x.w * y.w), 9) AS far
+         FROM unit x JOIN unit y ON x.token = y.token AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+       top AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY far, b) AS rn FROM sims QUALIFY rn <= 2)""",
+)

@@ -16,6 +16,7 @@ from veilstat.operators import learn as ln
 from veilstat.operators import lexical as lex
 from veilstat.operators import neighbors as nb
 from veilstat.operators import suppress as sp
+from veilstat.operators import textsim as ts
 from veilstat.plans import corpus as cp
 from veilstat.plans import deid
 from veilstat.registry import views as v
@@ -447,3 +448,8 @@ def kmeans4(spark: SparkSession, sf: str) -> DataFrame:
     wide, names = _vectors(spark, sf)
     points = ln.project(ft.zscore(wide, names), "vec_id", names)
     return ln.cluster(points, "point", restarts=5).select("vec_id", "cluster_label")
+
+
+@query
+def text_top2_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    return ts.top2_neighbors(v.documents(spark, sf), "doc_id")
