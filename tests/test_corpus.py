@@ -198,13 +198,15 @@ def test_load_corpus(spark, tmp_path):
     sub = tmp_path / "sub"
     sub.mkdir()
     (sub / "d.txt").write_text("deep")
+    (sub / "é+1 50%.txt").write_text("name")
     got = {r["name"]: r["text"] for r in sc.load_corpus(spark, str(tmp_path)).collect()}
     assert got == {"a": "one two", "b": "# Title", "c x": "last wins"}
     deep = {r["name"] for r in sc.load_corpus(spark, str(tmp_path), recursive=True).collect()}
-    assert deep == {"a", "b", "c x", "d"}
+    assert deep == {"a", "b", "c x", "d", "é+1 50%"}
     out = sc.clean_folder(spark, str(tmp_path), str(tmp_path / "out"))
     assert {r["name"]: (r["cleaned"], r["clean_words"]) for r in out.collect()} == {
         "a.txt": ("one two", 2), "c x.txt": ("last wins", 2), "d.txt": ("deep", 1),
+        "é+1 50%.txt": ("name", 1),
     }
 
 

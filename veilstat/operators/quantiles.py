@@ -10,6 +10,7 @@ narrows by ``BINS``, so a trillion spread-out values take about four.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from veilstat.spec import quoted
 
 BINS = 2048
+LARGEST = sys.float_info.max
 
 
 @dataclass
@@ -36,8 +38,14 @@ class _Search:
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation between neighbours; nulls are left out."""
-    values = df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    """Quantiles with linear interpolation between neighbours; nulls and NaN are left out."""
+
+    def searchable(c: str):
+        # An endless value stands at the end of the doubles during the search.
+        x = F.col(quoted(c)).cast("double")
+        return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST)))
+
+    values = df.select(*[searchable(c).alias(f"c{i}") for i, c in enumerate(columns)])
     ends = values.agg(
         *[
             f(F.col(f"c{i}")).alias(f"{n}{i}")
@@ -61,6 +69,8 @@ def exact_quantiles(
 
 def _between(searches: dict[tuple[int, int], _Search], i: int, position: float) -> float:
     below, above = searches[i, math.floor(position)].value, searches[i, math.ceil(position)].value
+    if below == above:
+        return below
     return below + (above - below) * (position - math.floor(position))
 
 
@@ -68,7 +78,7 @@ def _resolve(values: DataFrame, searches: list[_Search]) -> None:
     while True:
         for s in searches:
             if s.value is None and s.low == s.high:
-                s.value = s.low
+                s.value = s.low if abs(s.low) < LARGEST else math.copysign(math.inf, s.low)
         todo = [s for s in searches if s.value is None]
         if not todo:
             return
@@ -103,6 +113,6 @@ def _narrow(s: _Search, bins: list) -> None:
         if s.rank < rows:
             s.low, s.high, s.rows = low, high, rows
             if rows == 2:
-                s.value = low if s.rank == 0 else high
+                s.low = s.high = low if s.rank == 0 else high
             return
         s.rank -= rows

@@ -18,15 +18,45 @@ def valid_utf8(c: Column) -> Column:
     return F.replace(F.make_valid_utf8(c), F.lit("�"), F.lit(""))
 
 
+# Paths of files to leave out are sent to every task up to this number.
+BROADCAST_PATHS = 100_000
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str, recursive: bool = False) -> DataFrame:
-    """(file, path, modified, text), one row per file."""
-    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    raw = reader.text(folder, wholetext=True)
-    return raw.select(
-        F.url_decode("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_path").alias("path"),
-        valid_utf8(F.col("value")).alias("text"),
-    )
+    """(file, path, text), one row per file."""
+    raw = _reader(spark, pattern, recursive).text(folder, wholetext=True)
+    return raw.withColumn("text", valid_utf8(F.col("value"))).selectExpr(*_FILE, "text")
+
+
+# Names come in URL form, with plus signs as they are.
+_FILE = (
+    "url_decode(replace(_metadata.file_name, '+', '%2B')) AS file",
+    "_metadata.file_path AS path",
+)
+
+
+def _reader(spark: SparkSession, pattern: str, recursive: bool):
+    return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+
+
+def _latest_files(
+    spark: SparkSession, folder: str, pattern: str, recursive: bool, name: Column
+) -> DataFrame:
+    """(name, text): of files with the same name only the last path.
+
+    Names are compared from the file listing alone, without the contents. Texts
+    are shuffled only if more files are left out than fit a broadcast.
+    """
+    files = read_files(spark, folder, pattern, recursive)
+    listed = _reader(spark, pattern, recursive).format("binaryFile").load(folder)
+    paths = listed.selectExpr(*_FILE).select(name.alias("name"), "path")
+    last = paths.groupBy("name").agg(F.max("path").alias("last"), F.count(F.lit(1)).alias("n"))
+    older = paths.join(last.filter("n > 1"), "name").filter("path <> last").select("path")
+    n_older = older.count()
+    if n_older:
+        skip = F.broadcast(older) if n_older <= BROADCAST_PATHS else older
+        files = files.join(skip, "path", "left_anti")
+    return files.select(name.alias("name"), "text")
 
 
 def load_corpus(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -35,13 +65,9 @@ def load_corpus(spark: SparkSession, folder: str, recursive: bool = False) -> Da
     The name is the file name without extension. Of files with the same name
     the last path counts.
     """
-    files = read_files(spark, folder, TEXT_FILES, recursive)
-    named = files.select(
-        F.regexp_replace("file", r"\.[^.]*$", "").alias("name"),
-        "path",
-        text_or_html(clean_text(F.col("text"))).alias("text"),
-    )
-    return named.groupBy("name").agg(F.max_by("text", "path").alias("text"))
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    named = _latest_files(spark, folder, TEXT_FILES, recursive, stem)
+    return named.select("name", text_or_html(clean_text(F.col("text"))).alias("text"))
 
 
 def upsert_corpora(*sources: DataFrame) -> DataFrame:
@@ -70,7 +96,6 @@ def clean_folder(
     spark: SparkSession, folder: str, out: str, lexicon: DataFrame | None = None
 ) -> DataFrame:
     """Cleaned copies of all text files below a folder, one row per file."""
-    files = read_files(spark, folder, TXT_FILES, recursive=True)
-    named = files.groupBy(F.col("file").alias("name")).agg(F.max_by("text", "path").alias("text"))
+    named = _latest_files(spark, folder, TXT_FILES, True, F.col("file"))
     clean_corpus(named, "name", lexicon=lexicon).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
