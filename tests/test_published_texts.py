@@ -1,7 +1,7 @@
 """Published metrics of seven texts, where the texts are at hand.
 
-Point PUBLISHED_TEXTS to a folder with current texts and PUBLISHED_HISTORY to a
-folder ``google_historical`` with dated ones; else these tests are skipped.
+Point PUBLISHED_TEXTS to a folder with current texts and PUBLISHED_HISTORY to
+one with dated ones; else these tests are skipped.
 """
 
 import os
@@ -30,7 +30,7 @@ PUBLISHED = {
 
 
 def test_published_metrics(spark):
-    docs = load_corpus(spark, CURRENT).unionByName(read_snapshots(spark, HISTORY).select("name", "text"))
+    docs = load_corpus(spark, CURRENT).unionByName(read_snapshots(spark, HISTORY, "google").select("name", "text"))
     words = spark.createDataFrame([], "word string, easy boolean, syllables int, zipf double")
     metrics = {r["name"]: r for r in cp.corpus_metrics(docs, "name", words).collect()}
     counted = docs.select("name", F.explode(tx.words(F.col("text"))).alias("w")).groupBy("name")
