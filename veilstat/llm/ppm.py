@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from veilstat.llm.common import remainder, written
 
 #: Bytes of context.
-ORDER = 4
+ORDER = 5
 #: Bytes that never occur in UTF-8: before the first byte of a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 #: Text bytes that a worker handles at once.
 PORTION = 2 << 20
 #: Distinct (context, byte) pairs of one slice of the trie; a slice is broadcast.
-SLICE_GRAMS = 4_000_000
+SLICE_GRAMS = 6_000_000
+#: Pairs that a worker counts before it sends them on.
+PAIRS_HELD = 3_000_000
 #: Words, and bytes of words, that are broadcast with their counts; the rest is joined.
 HEAD_WORDS, HEAD_BYTES = 400_000, 16 << 20
 #: Distinct words that a worker counts before it sends them on.
@@ -212,7 +214,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for _, part in _portions(batch, 0):
                 held.append(np.unique(grams(part), return_counts=True))
-                if sum(len(p) for p, _ in held) > SLICE_GRAMS:
+                if sum(len(p) for p, _ in held) > PAIRS_HELD:
                     yield flush()
         if held:
             yield flush()
