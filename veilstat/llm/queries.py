@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilstat.llm import decontam, keyed_store, langid, packing, ppm, secret_scan, simhash
+from veilstat.llm import decontam, html_tree, keyed_store, langid, packing, ppm, secret_scan, simhash
 from veilstat.llm import topk, wordpiece
 from veilstat.llm.common import shared_path, table
 
@@ -25,6 +25,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
