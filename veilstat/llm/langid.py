@@ -205,6 +205,30 @@ def _training_windows(docs: DataFrame, per_language: int) -> list:
     return sorted(rows, key=lambda r: (r["lang"], r["id"], r["w"]))
 
 
+def _prepared(docs: DataFrame, per_language: int):
+    """Marks of held-out rows and rows with letters, and the trained network as a broadcast."""
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
+    base = docs.select("doc_id", F.col("text").cast("string"), "lang", held_out, letter)
+    rows = _training_windows(base, per_language)
+    languages = sorted({r["lang"] for r in rows})
+    net = None
+    if rows:
+        labels = np.array([languages.index(r["lang"]) for r in rows])
+        net = train([r["w"].encode()[:WINDOW] for r in rows], labels, len(languages))
+    return held_out, letter, docs.sparkSession.sparkContext.broadcast((languages, net))
+
+
+def _labels(texts: pa.Array, letters: pa.Array, languages: list, net) -> tuple[list, np.ndarray]:
+    """Language and score of each text."""
+    best, score = ["und"] * len(texts), np.zeros(len(texts))
+    rows = [i for i, yes in enumerate(letters.to_pylist()) if yes] if net else []
+    for at, raw in _portions(texts, rows):
+        for i, row in zip(at, pool(net, raw)):
+            best[i], score[i] = languages[int(row.argmax())], min(1.0, float(row.max()))
+    return best, score
+
+
 def predict(docs: DataFrame, per_language: int = TRAINING_WINDOWS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language of every whole text.
 
@@ -217,48 +241,55 @@ def predict(docs: DataFrame, per_language: int = TRAINING_WINDOWS) -> DataFrame:
     out, and not learnt from.  Rows with equal ids are predicted each; other
     columns are ignored; an empty table gives an empty result.
     """
-    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    base = docs.select("doc_id", F.col("text").cast("string"), "lang")
-    rows = _training_windows(base.select("*", held_out, letter), per_language)
-    languages = sorted({r["lang"] for r in rows})
-    net = None
-    if rows:
-        labels = np.array([languages.index(r["lang"]) for r in rows])
-        net = train([r["w"].encode()[:WINDOW] for r in rows], labels, len(languages))
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((languages, net))
+    held_out, letter, sent = _prepared(docs, per_language)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weights = sent.value
         for batch in batches:
-            letters = batch.column(3).to_pylist()
-            best, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            rows = [i for i, yes in enumerate(letters) if yes] if weights else []
-            for at in _portions(batch.column(1), rows):
-                chances = pool(weights, [batch.column(1)[i].as_py().encode() for i in at])
-                for i, row in zip(at, chances):
-                    best[i], score[i] = names[int(row.argmax())], min(1.0, float(row.max()))
+            best, score = _labels(batch.column(1), batch.column(3), *sent.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(best), pa.array(score)],
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return base.select(F.col("doc_id").cast("long"), "text", held_out, letter).mapInArrow(
-        each, "doc_id long, held_out boolean, lang_pred string, score double"
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out, letter)
+    return rows.mapInArrow(each, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def label(docs: DataFrame, least: float, per_language: int = TRAINING_WINDOWS) -> DataFrame:
+    """``docs`` without the rows that are ``und`` or score below ``least``.
 
+    ``lang`` holds the predicted language in the rows that stay; all other
+    columns are as they were.  If no row is labelled nothing can be told apart,
+    and every text with a letter stays as it is.
+    """
+    _, letter, sent = _prepared(docs, per_language)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
-def _portions(texts: pa.Array, rows: list[int]) -> Iterator[list[int]]:
-    """Rows in portions of about four million bytes."""
-    sizes = np.diff(texts.offsets.to_numpy()) if hasattr(texts, "offsets") else None
-    lengths = sizes if sizes is not None else np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
-    held, size = [], 0
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, net = sent.value
+        for batch in batches:
+            letters = batch.column(batch.num_columns - 1)
+            columns = list(batch.columns[:-1])
+            keep = letters
+            if net:
+                best, score = _labels(batch.column(text), letters, languages, net)
+                columns[lang] = pa.array(best, columns[lang].type)
+                keep = pa.array([b != "und" and x >= least for b, x in zip(best, score)], pa.bool_())
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield out.filter(keep)
+
+    return docs.select("*", letter).mapInArrow(each, docs.schema)
+
+
+def _portions(texts: pa.Array, rows: list[int]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Rows and their bytes, in portions of about four million bytes."""
+    held, raw, size = [], [], 0
     for i in rows:
         held.append(i)
-        size += int(lengths[i])
+        raw.append(texts[i].as_py().encode())
+        size += len(raw[-1])
         if size > 4 << 20:
-            yield held
-            held, size = [], 0
+            yield held, raw
+            held, raw, size = [], [], 0
     if held:
-        yield held
+        yield held, raw
