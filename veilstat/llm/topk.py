@@ -103,13 +103,15 @@ def search(
 
     def one_block(number: int) -> DataFrame:
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).collect()
-        lengths = sorted({len(r.v) for r in block})
+        by_length: dict[int, list] = {}
+        for row in block:
+            by_length.setdefault(len(row.v), []).append(row)
         held = {
             n: (
-                np.array([r.id for r in block if len(r.v) == n], np.int64),
-                np.floor(np.array([r.v for r in block if len(r.v) == n]).reshape(-1, n) * scale),
+                np.array([r.id for r in rows_n], np.int64),
+                np.floor(np.array([r.v for r in rows_n]).reshape(len(rows_n), n) * scale),
             )
-            for n in lengths
+            for n, rows_n in by_length.items()
         }
         sent = spark.sparkContext.broadcast(held)
 
@@ -153,7 +155,7 @@ def search(
     for number in range(1, blocks):
         lists = lists.union(one_block(number))
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
-    parts = rows.rdd.getNumPartitions()
+    parts = blocks * rows.rdd.getNumPartitions()  # tasks of a union are numbered through
     while parts > 1:
         parts = -(-parts // FAN)
         upper = F.floor(F.col("part") / FAN).alias("part")
