@@ -1,0 +1,290 @@
+"""Language, secrets, page text and language-model scores."""
+
+from __future__ import annotations
+
+import collections
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import DOC_SCHEMA, sentence
+from veilstat.llm import html_tree, langid, ppm, secret_scan
+
+SF = "/root/testdata/sf0.01"
+
+
+# Language
+
+
+def test_gradient_equals_differences():
+    draw = np.random.default_rng(2)
+    net = langid.new_network(3, 2)
+    net = {k: v + draw.normal(0, 0.1, v.shape).astype(np.float32) for k, v in net.items()}
+    data = draw.integers(97, 101, (6, 4)).astype(np.uint8)
+    labels, mask = np.array([0, 1, 2, 1]), np.ones((6, 4), np.float32)
+    mask[4:, 1] = 0
+    _, grad = langid.gradients(net, data, labels, mask)
+    for name in net:
+        for at in list(np.ndindex(net[name].shape))[:: max(1, net[name].size // 9)]:
+            moved, step = [], 1e-2
+            for sign in (1, -1):
+                other = {k: v.copy() for k, v in net.items()}
+                other[name][at] += sign * step
+                moved.append(langid.gradients(other, data, labels, mask)[0])
+            assert grad[name][at] == pytest.approx((moved[0] - moved[1]) / (2 * step), abs=2e-3)
+
+
+def test_pooling_is_the_mean_of_the_positions(monkeypatch):
+    net = langid.new_network(3)
+    texts = [b"a" * 5, b"hello " * 50, b"", b"x" * langid.WINDOW]
+    whole = langid.pool(net, texts)
+    monkeypatch.setattr(langid, "LANES", 2)
+    assert np.allclose(whole, langid.pool(net, texts), atol=1e-6)
+    for text, got in zip(texts, whole):
+        parts = [text[i : i + langid.WINDOW] for i in range(0, len(text), langid.WINDOW)]
+        total = np.zeros(3)
+        for part in parts:
+            data = np.frombuffer(part.ljust(langid.WINDOW), np.uint8)[:, None]
+            total += langid.label_positions(net, data)[: len(part), :, 0].sum(axis=0)
+        assert np.allclose(got, total / max(1, len(text)), atol=1e-6)
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = langid.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert {r.doc_id for r in held} == {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_odd_rows(spark, frame, odd_rows):
+    rows = [(100 + i, sentence(i, 30), "en") for i in range(40)]
+    rows += [(200 + i, "ung sch der die und ist nicht eine " * 5, "de") for i in range(40)]
+    rows += [(r[0], r[1], None) for r in odd_rows] + [(300, "123 !?"), (301, None, "de")]
+    got = langid.predict(frame(rows)).collect()
+    assert len(got) == len(rows)
+    found = {r.doc_id: r for r in got}
+    for key in (2, 3, 4, 300, 301):
+        assert (found[key].lang_pred, found[key].score) == ("und", 0.0)
+    assert found[5].lang_pred == "en" and not found[None].held_out
+    kept = langid.label(frame(rows), 0.5)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {2, 3, 4, 300, 301}.isdisjoint({r.doc_id for r in kept.collect()})
+    unlabelled = frame([(r[0], r[1], None) for r in odd_rows])
+    assert {r.lang_pred for r in langid.predict(unlabelled).collect()} == {"und"}
+    assert langid.predict(frame(rows).limit(0)).count() == 0
+
+
+# Secrets
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return secret_scan.train(spark)
+
+
+def test_forest_on_findings_not_trained_on(spark, trees):
+    rows = spark.createDataFrame(secret_scan.labelled_findings(800, seed=99))
+    columns = secret_scan.measures(*(F.col(c) for c in ("found", "before", "word", "after", "path")))
+    features = F.struct(*[c.cast("double").alias(n) for n, c in zip(secret_scan.FEATURES, columns)])
+    scored = rows.select("secret", features.alias("f"))
+    scored = scored.select("secret", secret_scan.probability(trees, F.col("f")).alias("p")).collect()
+    right = sum((r.p >= 0.5) == bool(r.secret) for r in scored)
+    assert right >= 0.97 * len(scored)
+
+
+def test_planted_tokens_are_found_and_nothing_else(spark, trees):
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = {
+        (r.doc_id, x)
+        for r in docs.collect()
+        for x in re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text or "")
+    }
+    found = {(r.doc_id, r.finding) for r in secret_scan.scan(docs, trees).collect()}
+    assert planted and found == planted
+
+
+def test_secrets_of_odd_rows(spark, frame, odd_rows, trees):
+    key = "AKIA" + "QX7Z2M9KD4T8W1BN"
+    hexa = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = odd_rows + [
+        (50, f'say api_key = "{hexa}" and api_key = "{hexa}" again'),
+        (51, f"aws {key}; commit {hexa} sha1: {hexa} card 4785380592391139"),
+        (None, f"password={hexa}"),
+    ]
+    docs = frame(rows)
+    got = sorted((str(r.doc_id), r.finding) for r in secret_scan.scan(docs, trees).collect())
+    assert got == [("50", hexa), ("50", hexa), ("51", key), ("None", hexa)]
+    clean = {str(r.doc_id): r for r in secret_scan.redact(docs, trees).collect()}
+    assert clean["50"].text == 'say api_key = "[SECRET]" and api_key = "[SECRET]" again'
+    assert clean["50"].n_chars == len(clean["50"].text)
+    assert clean["2"].text is None and clean["5"].text == dict(odd_rows[:7])[5]
+    assert secret_scan.redact(docs, trees).count() == len(rows)
+    bare = docs.select("doc_id", "text")
+    assert secret_scan.scan(bare, trees).count() == 4
+    assert secret_scan.scan(docs.limit(0), trees).count() == 0
+
+
+def test_no_python_in_the_plan(spark, trees):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = secret_scan.redact(docs, trees)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# Pages
+
+
+def _page(i: int, body: str) -> tuple:
+    menu = "<div class=c1><a href=/>Home</a> <a href=/x>News of the day</a></div>"
+    box = "<div class=c2>Weather: mild, some clouds</div>"
+    return i, f"https://site.example.com/{i}", f"<html><body>{menu}<div class=c9>{body}</div>{box}</body></html>"
+
+
+PAGE_SCHEMA = "page_id long, url string, html string, extra string"
+
+
+def _extract(spark, rows):
+    frame = spark.createDataFrame([(*r, "x") for r in rows], PAGE_SCHEMA)
+    return {r.page_id: r for r in html_tree.extract(frame).collect()}
+
+
+def test_what_a_site_repeats_is_removed(spark):
+    rows = [_page(i, f"<h2>Title {i}</h2><p>{sentence(i, 30)}</p>") for i in range(8)]
+    rows += [_page(20 + i, f"<h2>Copy</h2><p>{sentence(99, 40)}</p>") for i in range(6)]
+    got = _extract(spark, rows)
+    for i in range(8):
+        assert got[i].text == f"Title {i} {sentence(i, 30)}"
+    for i in range(6):  # copies of a page are one page of the site
+        assert got[20 + i].text == f"Copy {sentence(99, 40)}"
+
+
+PAGES = [
+    ("<p><b>t<br><p>u</p> a<i>b</i>c &amp; d &am &#8364;&nbsp;5", "t u abc & d &am € 5"),
+    ("<nav>menu</nav><article><header><h1>T<b>it</b>le</h1></header><div class='share'>s</div>"
+     "<p>one<script>var a='</p>';</script> two</p><ul><li>x<li>y</ul><table><tr><td>a<td>b</table>"
+     "<section id=comments><article class=comment>bad</article></section></article><footer>f",
+     "Title one two x y a b"),
+    ("<body class='nav-open'><div class='with-sidebar'><main><p>kept</p></main></div><p>outside</p>", "kept"),
+    ("<p>a</p><!-- no <p>no</p> --><form>f</form><p hidden>h</p><textarea>q</textarea><p>b", "a b"),
+    ("<!-- open <p>x", ""), ("", ""), (None, ""), ("only words", "only words"),
+    ("<div><a href=/>Home</a> <a href=/b>Blog</a></div><p>text with <a href=/>a link</a></p>", "text with a link"),
+    ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+]
+
+
+def test_pages_by_hand(spark):
+    rows = [(i, f"http://h{i}.example.org/p", page) for i, (page, _) in enumerate(PAGES)]
+    got = _extract(spark, rows)
+    for i, (_, text) in enumerate(PAGES):
+        assert (got[i].text, got[i].n_chars) == (text, len(text)), i
+
+
+def test_odd_pages(spark):
+    long = "<article>" + "".join(f"<p>{sentence(i, 50)}</p>" for i in range(400))
+    rows = [(1, None, "<p>a</p>"), (None, "u", "<p>b</p>"), (2, "u", None), (2, "u", "<p>c</p>"), (3, "u", long)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], PAGE_SCHEMA)
+    got = sorted((str(r.page_id), r.text) for r in html_tree.extract(frame).collect())
+    whole = " ".join(sentence(i, 50) for i in range(400))
+    assert got == sorted([("1", "a"), ("None", "b"), ("2", ""), ("2", "c"), ("3", whole)])
+    assert html_tree.extract(frame.limit(0)).count() == 0
+
+
+# Scores
+
+
+def _brute(rows, order: int):
+    texts = [(k, (t or "").encode().lower()) for k, t in rows]
+    held = {k for k, _ in texts if k is not None and zlib.crc32(str(k).encode()) % 7 == 2}
+    train = [t for k, t in texts if k not in held]
+    seen = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    padded = lambda t: [254] * order + [*t, 255]
+    for text in train:
+        s = padded(text)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen[k][tuple(s[i - k : i])][s[i]] += 1
+
+    def log(context, byte):
+        out, ruled_out = 0.0, set()
+        for k in range(order, -1, -1):
+            after = seen[k].get(tuple(context[len(context) - k :]), {})
+            after = {b: n for b, n in after.items() if b not in ruled_out}
+            if not after:
+                continue
+            shares = sum(after.values()) + len(after)
+            if byte in after:
+                return out + math.log10(after[byte] / shares)
+            out += math.log10(len(after) / shares)
+            ruled_out |= set(after)
+        return out - math.log10(256 - len(ruled_out))
+
+    words = collections.Counter(w for t in train for w in [*t.split(), 0])
+    total, kinds = sum(words.values()), len(words)
+    out = []
+    for key, text in texts:
+        s, tokens = padded(text), [*text.split(), 0]
+        out.append((
+            str(key), key in held, len(tokens), sum(words[w] > 0 for w in tokens), total,
+            sum(math.log10((words[w] + 1) / (total + kinds + 1)) for w in tokens),
+            sum(log(s[i - order : i], s[i]) for i in range(order, len(s))),
+        ))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("slice_grams,head_words", [(ppm.SLICE_GRAMS, ppm.HEAD_WORDS), (700, 5)])
+def test_scores_equal_brute_force(frame, odd_rows, monkeypatch, slice_grams, head_words):
+    monkeypatch.setattr(ppm, "PORTION", 200)
+    rows = [r if r[0] != 5 else (5, r[1][:900]) for r in odd_rows if r[0] != 1 << 40]
+    rows += [(400 + i, sentence(i, 25)) for i in range(30)] + [(900, "zq \x01 żółw")]
+    got = ppm.score(frame(rows), slice_grams=slice_grams, head_words=head_words).collect()
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+    for mine, want in zip(got, _brute(rows, ppm.ORDER), strict=True):
+        assert mine[:5] == want[:5]
+        assert mine[5:] == pytest.approx(want[5:], rel=1e-9)
+    assert ppm.score(frame(rows).limit(0)).count() == 0
+
+
+def test_scores_without_training_rows(frame):
+    key = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    row = ppm.score(frame([(key, "two words")])).first()
+    assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+    assert row.score == pytest.approx(-10 * math.log10(256))
+
+
+# Pipeline
+
+
+def test_pipeline_by_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    bench = [(0, sentence(700, 40))]
+    rows = [(i, sentence(i, 60), "en", "s", 0) for i in range(30)]
+    rows += [(100 + i, "ung sch der die und ist nicht eine " * (5 + i), "de", "s", 0) for i in range(30)]
+    rows += [
+        (200, "123 456", "en", "s", 7), (201, None, "en", "s", None),
+        (202, sentence(3, 60), "en", "s", 0), (203, sentence(1, 90) + " " + bench[0][1], "en", "s", 0),
+        (204, sentence(800, 50) + ' token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "en", "s", 0),
+    ]
+    spark.createDataFrame(rows, DOC_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = [{r[0] for r in rows}]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        ids.append({r.doc_id for r in docs.collect()})
+    assert ids[0] - ids[1] == {200, 201}
+    assert 202 not in ids[2] and 3 in ids[2]
+    assert ids[2] - ids[3] == {203} and ids[4] == ids[3]
+    masked = {r.doc_id: r.text for r in docs.collect()}
+    assert masked[204].endswith('token = "[SECRET]"')
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == ids[4]
