@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilstat.session import cut_lineage
 from veilstat.spec import quoted
 
 # A class is hot when it holds more than 1/HOT_SHARE of all rows, so there are
@@ -86,30 +87,32 @@ def rare_classes(df: DataFrame, qis: Sequence[str], size: int = 1) -> DataFrame:
 def violating_records(df: DataFrame, qis: Sequence[str], count: str = "count") -> DataFrame:
     """Rows which are alone in their class, with their class size.
 
-    A class of one row is its row, so the aggregate carries the other columns
-    along and no join back is needed.
+    Only the keys of classes of one row meet the table; the other columns are
+    neither sorted nor shuffled unless those keys outgrow a broadcast.
     """
-    others = [c for c in df.columns if c not in set(qis)]
-    carried = [F.first(F.col(quoted(c))).alias(c) for c in others]
-    alone = df.groupBy(*_cols(qis)).agg(F.count(F.lit(1)).alias(count), *carried)
-    return alone.filter(F.col(count) == 1).select(*_cols(df.columns), count)
+    alone = class_sizes(df, qis, count).filter(F.col(count) == 1)
+    keys = [F.col(quoted(c)).alias(f"_key{i}") for i, c in enumerate(qis)]
+    on = [F.col(quoted(c)).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(qis)]
+    if not qis:
+        return df.withColumn(count, df.agg(F.count(F.lit(1))).scalar()).filter(F.col(count) == 1)
+    found = df.join(alone.select(*keys), reduce(lambda a, b: a & b, on), "left_semi")
+    return found.withColumn(count, F.lit(1).cast("bigint"))
 
 
 def record_class_size(
     df: DataFrame, qis: Sequence[str], name: str = "class_size", at_least: int = 1
 ) -> DataFrame:
-    """Every row with the size of its class; ``at_least`` leaves out smaller classes.
-
-    """
+    """Every row with the size of its class; ``at_least`` leaves out smaller classes."""
     if not qis:
         total = df.agg(F.count(F.lit(1))).scalar()
         return df.withColumn(name, total).filter(F.col(name) >= at_least)
-    joined = join_by_class(df, class_sizes(df, qis, name), qis, name)
-    return joined.filter(F.col(name) >= at_least)
+    # Written once; classes that are left out never meet the rows.
+    table = cut_lineage(class_sizes(df, qis, name))
+    return join_by_class(df, table, qis, name, at_least)
 
 
 def join_by_class(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], size: str
+    df: DataFrame, table: DataFrame, keys: Sequence[str], size: str, at_least: int = 1
 ) -> DataFrame:
     """Inner join of rows with a table of their classes, null equal to null.
 
@@ -118,8 +121,9 @@ def join_by_class(
     the rows of hot classes meet a broadcast where they are read. Fewer than
     ``HOT_SHARE`` classes can be hot; the rest is shuffled without hot keys.
     """
-    total = table.agg(F.sum(size)).scalar()
+    total = table.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) * HOT_SHARE > total
+    table = table.filter(F.col(size) >= at_least)
     extra = [c for c in table.columns if c not in set(keys)]
     renamed = [F.col(quoted(c)).alias(f"_key{i}") for i, c in enumerate(keys)]
     on = reduce(
@@ -130,5 +134,7 @@ def join_by_class(
     rest = table.filter(~is_hot).select(*renamed, *extra)
     columns = [*_cols(df.columns), *_cols(extra)]
     hot_rows = df.join(hot, on, "inner").select(*columns)
+    if not rest.limit(1).count():
+        return hot_rows
     other_rows = df.join(hot, on, "left_anti").join(rest, on, "inner").select(*columns)
     return hot_rows.unionByName(other_rows)

@@ -23,7 +23,8 @@ def feature_points(
 ) -> DataFrame:
     """(key, point): the features present, filled, standardized and projected."""
     features, _ = select_features(metrics, wanted)
-    table = metrics.select(key, *features)
+    # The medians read the table several times; texts must not be read again for them.
+    table = cut_lineage(metrics.select(key, *features))
     scaled = zscore(median_impute(table, features), features)
     return project(scaled, key, features, dims)
 
@@ -46,15 +47,32 @@ def project(scaled: DataFrame, key: str, features: Sequence[str], dims: int = 2)
 
 
 def cluster(
-    points: DataFrame, vector: str, k: int = N_CLUSTERS, restarts: int = 20, label: str = "cluster_label"
+    points: DataFrame,
+    vector: str,
+    k: int = N_CLUSTERS,
+    restarts: int = 20,
+    label: str = "cluster_label",
+    tol: float = 1e-6,
+    max_iter: int = 100,
 ) -> DataFrame:
-    """Points with the labels of the k-means run of lowest cost."""
+    """Points with the labels of the k-means run of lowest cost.
+
+    A run ends when no centre moves further than ``tol``. One that has not ended
+    after ``max_iter`` rounds is run again with twice as many, so only settled
+    runs are compared.
+    """
     ready = cut_lineage(points.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>"))))
-    models = (
-        KMeans(k=k, seed=seed, featuresCol="_x", predictionCol=label, tol=1e-6, maxIter=100).fit(ready)
-        for seed in range(restarts)
-    )
-    best = min(models, key=lambda m: m.summary.trainingCost)
+
+    def settled(seed: int):
+        rounds = max_iter
+        while True:
+            run = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol=label, tol=tol, maxIter=rounds)
+            model = run.fit(ready)
+            if model.summary.numIter < rounds:
+                return model
+            rounds *= 2
+
+    best = min(map(settled, range(restarts)), key=lambda m: m.summary.trainingCost)
     return best.transform(ready).drop("_x")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veilstat.functions import readability as rd
 from veilstat.functions import text as tx
-from veilstat.operators.features import zscore
+from veilstat.operators.features import median_impute, zscore
 from veilstat.operators.lexical import lookup, word_aggregates, word_counts, zipf_aggregates
+from veilstat.session import cut_lineage
 from veilstat.spec import quoted
 
 # --- fixed values: the metrics record, in order --------------------------------
@@ -82,9 +83,17 @@ def corpus_metrics(docs: DataFrame, key: str, words: DataFrame, text: str = "tex
 
 
 def history_metrics(snapshots: DataFrame, words: DataFrame) -> DataFrame:
-    """Metrics of dated snapshots (see ``read_snapshots``) with their dates, by date."""
-    dates = snapshots.select("name", F.year("date").alias("year"), "timestamp", "date", "source_file")
-    return corpus_metrics(snapshots, "name", words).join(dates, "name").orderBy("timestamp")
+    """Metrics of dated snapshots (see ``read_snapshots``) with their dates, by date.
+
+    Two files of one date share their name, so a row is known by all of its
+    fields, which travel as the key; nothing is joined back.
+    """
+    fields = ["name", "year", "timestamp", "date", "source_file"]
+    dated = snapshots.withColumn("year", F.year("date"))
+    keyed = dated.select(F.struct(F.monotonically_increasing_id().alias("row"), *fields).alias("_snapshot"), "text")
+    # The row numbers must not change between the two passes over the texts.
+    out = corpus_metrics(cut_lineage(keyed), "_snapshot", words)
+    return out.select(*[f"_snapshot.{c}" for c in fields], *METRICS).orderBy("timestamp", "source_file")
 
 
 def history_trend(history: DataFrame, *measures: str) -> DataFrame:
@@ -102,5 +111,6 @@ def _date(column: str):
 
 
 def history_zscore(history: DataFrame, measures: list[str]) -> DataFrame:
+    """Z-scores by snapshot; missing and endless values count as the median."""
     labelled = history.withColumn("snapshot", snapshot_label("timestamp"))
-    return zscore(labelled, measures).select("snapshot", *measures).orderBy("snapshot")
+    return zscore(median_impute(labelled, measures), measures).select("snapshot", *measures).orderBy("snapshot")

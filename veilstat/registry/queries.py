@@ -447,7 +447,7 @@ def pca2(spark: SparkSession, sf: str) -> DataFrame:
 def kmeans4(spark: SparkSession, sf: str) -> DataFrame:
     wide, names = _vectors(spark, sf)
     points = ln.project(ft.zscore(wide, names), "vec_id", names)
-    return ln.cluster(points, "point", restarts=5).select("vec_id", "cluster_label")
+    return ln.cluster(points, "point").select("vec_id", "cluster_label")
 
 
 @query

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstat.functions.text import clean_text
-from veilstat.session import spread_small
 
 QI = """
   c_custkey AS user_id, c_mktsegment AS course_id,
@@ -67,12 +66,11 @@ def qi_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text) with clean text."""
-    docs = spread_small(table(spark, sf, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", clean_text(F.col("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_small(table(spark, sf, "pages"))
+    return table(spark, sf, "pages")
 
 
 def index_responses(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,7 @@ def build_session(app: str = "veilstat", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -48,12 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal out a table read in fewer tasks than there are cores.
-
-    Text work is bound by the processor. Only an input of a few file splits is
-    moved; a large table has splits enough and stays where it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

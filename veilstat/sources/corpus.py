@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilstat.functions.pages import html_to_text_content, registered_domain, text_or_html
 from veilstat.functions.text import clean_text
 from veilstat.operators.lexical import clean_corpus
+from veilstat.session import cut_lineage
 
 TEXT_FILES = "*.{[tT][xX][tT],[mM][dD],[hH][tT][mM][lL]}"
 TXT_FILES = "*.[tT][xX][tT]"
@@ -20,6 +21,8 @@ def valid_utf8(c: Column) -> Column:
 
 # Paths of files to leave out are sent to every task up to this number.
 BROADCAST_PATHS = 100_000
+# Names that occur again are sent to every task up to this size.
+BROADCAST_BYTES = 32 << 20
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str, recursive: bool = False) -> DataFrame:
@@ -73,14 +76,23 @@ def load_corpus(spark: SparkSession, folder: str, recursive: bool = False) -> Da
 def upsert_corpora(*sources: DataFrame) -> DataFrame:
     """Union of (name, text) tables; for a name in several the last source counts.
 
-    Within one source the greatest text counts. The copies of a name collapse
-    before the shuffle.
+    Within one source the greatest text counts. Names are counted without their
+    texts; rows whose name occurs once stay where they are, and only texts of
+    names that occur again are compared.
     """
     ranked = [s.select("name", "text", F.lit(i).alias("source")) for i, s in enumerate(sources)]
     union = ranked[0]
     for other in ranked[1:]:
         union = union.unionByName(other)
-    return union.groupBy("name").agg(F.max_by("text", F.struct("source", "text")).alias("text"))
+    counted = union.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("source").alias("last"))
+    again = cut_lineage(counted.filter("n > 1").drop("n"))
+    size = again.agg(F.sum(F.octet_length("name") + 24)).first()[0] or 0
+    small = F.broadcast(again) if size <= BROADCAST_BYTES else again
+    renamed = small.withColumnRenamed("name", "_name")
+    same = F.col("name").eqNullSafe(F.col("_name"))
+    once = union.join(renamed, same, "left_anti").select("name", "text")
+    winners = union.join(renamed, same & (F.col("source") == F.col("last")))
+    return once.unionByName(winners.groupBy("name").agg(F.max("text").alias("text")))
 
 
 def pages_to_documents(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:

@@ -18,15 +18,20 @@ def read_records(
     path: str,
     columns: Sequence[str] | None = None,
     na_tokens: Sequence[str] = lx.NA_TOKENS,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """A CSV file with a header. Every value is text, so postal codes keep their zeros.
+    """CSV files with headers. Every value is text, so postal codes keep their zeros.
 
-    Without ``columns`` the names come from the header line.
+    Without ``columns`` the names come from the first header. Every file's own
+    header is held against the names, so a file with another order of columns
+    fails the read and is not taken in swapped. ``multi_line`` reads values with
+    line breaks; a file is then one task.
     """
+    options = {"header": True, "nullValue": "", "multiLine": multi_line, "escape": '"'}
     if columns is None:
-        columns = spark.read.option("header", True).csv(path).columns
+        columns = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).options(header=True, nullValue="", multiLine=False, escape='"').csv(path)
+    raw = spark.read.schema(schema).options(**options, enforceSchema=False, columnPruning=False).csv(path)
     return raw.select(*[na_normalize(F.col(quoted(c)), na_tokens).alias(c) for c in columns])
 
 
