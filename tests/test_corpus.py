@@ -75,10 +75,10 @@ def test_lexical_stats_by_hand(docs):
 LEXICON = [("we", 6.0), ("cookies", 4.0), ("liable", 2.5), ("processor", 1.5), ("retain", 1.51)]
 
 
-@pytest.mark.parametrize("limit", [lex.BROADCAST_WORDS, 2])
+@pytest.mark.parametrize("limit", [lex.BROADCAST_BYTES, 2])
 def test_lookups_short_and_long_list(spark, docs, monkeypatch, limit):
     # A limit of two words takes the way of long lists.
-    monkeypatch.setattr(lex, "BROADCAST_WORDS", limit)
+    monkeypatch.setattr(lex, "BROADCAST_BYTES", limit)
     words = spark.createDataFrame(LEXICON, "word string, zipf double")
     got = by_name(lex.zipf_stats(docs, "name", words))
     for name, t in TEXTS.items():

@@ -38,7 +38,7 @@ def readability(docs: DataFrame, key: str, words: DataFrame, text: str = "text")
     c = F.col(quoted(text))
     counted = docs.select(key, tx.n_words(c).alias("n_words"), tx.n_sents(c).alias("n_sents"), tx.words(c).alias("_words"))
     rows = counted.select(key, "n_words", "n_sents", F.explode_outer("_words").alias("word"))
-    looked = lookup(rows, words.select("word", "easy", "syllables"), "word", F.col(key))
+    looked = lookup(rows, words.select("word", "easy", "syllables"), "word")
     per_doc = looked.groupBy(key, "n_words", "n_sents").agg(
         *[e.alias(n) for n, e in word_aggregates().items()]
     )
@@ -55,7 +55,8 @@ def corpus_metrics(docs: DataFrame, key: str, words: DataFrame, text: str = "tex
 
     ``words`` is a list (word, easy, syllables, zipf), see ``word_list``. Words
     and tokens of a document meet it in one pass; what shuffles is one partial
-    record per document.
+    record per document. The document's own columns travel on one row of it, the
+    others carry the key and a word.
     """
     c = F.col(quoted(text))
     counts = tx.basic_counts(c) | tx.index_counts(c)
@@ -70,15 +71,22 @@ def corpus_metrics(docs: DataFrame, key: str, words: DataFrame, text: str = "tex
         F.transform("_words", lambda w: F.struct(F.lit(True).alias("is_word"), w.alias("word"))),
         F.transform("_tokens", lambda t: F.struct(F.lit(False).alias("is_word"), t.alias("word"))),
     )
-    carried = [key, *_COUNTS, *_LEXICAL]
-    rows = wide.select(*carried, F.explode_outer(tagged).alias("_item")).select(
-        *carried, F.col("_item.is_word").alias("is_word"), F.col("_item.word").alias("word")
+    own = F.array(F.struct(F.lit(None).cast("boolean").alias("is_word"), F.lit(None).cast("string").alias("word")))
+    record = F.struct(*_COUNTS, *_LEXICAL)
+    rows = wide.select(key, record.alias("_record"), F.posexplode(F.concat(own, tagged)).alias("_pos", "_item")).select(
+        key,
+        F.when(F.col("_pos") == 0, F.col("_record")).alias("_record"),
+        F.col("_item.is_word").alias("is_word"),
+        F.col("_item.word").alias("word"),
     )
-    looked = lookup(rows, words.select("word", "easy", "syllables", "zipf"), "word", F.col(key))
+    looked = lookup(rows, words.select("word", "easy", "syllables", "zipf"), "word")
     is_word = F.coalesce(F.col("is_word"), F.lit(False))
     is_token = F.coalesce(~F.col("is_word"), F.lit(False))
     aggregates = word_aggregates(is_word) | zipf_aggregates(is_token)
-    per_doc = looked.groupBy(*carried).agg(*[e.alias(n) for n, e in aggregates.items()])
+    per_doc = looked.groupBy(key).agg(
+        *[F.max(F.when(F.col("_record").isNotNull(), F.col(f"_record.{c}"))).alias(c) for c in (*_COUNTS, *_LEXICAL)],
+        *[e.alias(n) for n, e in aggregates.items()],
+    )
     return per_doc.withColumns(rd.word_indices()).select(key, *METRICS)
 
 

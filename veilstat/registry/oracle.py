@@ -167,6 +167,30 @@ def _combination() -> str:
 
 ORACLE["combination"] = _combination()
 
+
+def _combination_rows() -> str:
+    """Identifiers of rows in large classes, per stage; the rules of the summary pick the stage."""
+    kept, least = [], []
+    for gone in ("", *v.QIS):
+        rest = ", ".join(x for x in v.QIS if x != gone)
+        kept.append(
+            f"SELECT '{gone}' AS gone, user_id, course_id, count(*) OVER (PARTITION BY {rest}) AS n FROM general"
+        )
+        card = f"(SELECT count(DISTINCT {gone}) FROM general)" if gone else "CAST(0 AS BIGINT)"
+        least.append(
+            f"SELECT '{gone}' AS gone, {card} AS card, min(n) AS k0 FROM (SELECT count(*) AS n FROM general GROUP BY {rest})"
+        )
+    return _qi(
+        """SELECT user_id, course_id FROM kept WHERE n >= 5 AND gone = (SELECT gone FROM stages
+             ORDER BY (gone = '' AND k0 >= 5) DESC, gone = '', card DESC, gone LIMIT 1)""",
+        GENERAL,
+        f"kept AS ({' UNION ALL '.join(kept)})",
+        f"stages AS ({' UNION ALL '.join(least)})",
+    )
+
+
+ORACLE["combination_rows"] = _combination_rows()
+
 # --- text ------------------------------------------------------------------------------------
 
 
@@ -261,14 +285,24 @@ ORACLE["clean_tokens_vocab"] = _docs(
          WHERE word IN (SELECT token FROM vocabulary))""",
 )
 _ALL = {c: c for c in ("ttr", "yule_k", "entropy", "legalese_frac")}
-ORACLE["corpus_metrics"] = _docs(
-    f"""SELECT c.doc_id, n_chars, n_words, n_sents, {_cols(_GRADES)}, {_cols(_EXACT)}, {_LEX4},
-          {_cols({"avg_zipf": "coalesce(az, 0)", "rare_frac": "coalesce(rf, 0)"})}
-        FROM c JOIN lexical USING (doc_id) LEFT JOIN wc USING (doc_id) LEFT JOIN zs USING (doc_id)""",
+_MEASURES = {**_GRADES, **_EXACT, **_ALL, "avg_zipf": "coalesce(az, 0)", "rare_frac": "coalesce(rf, 0)"}
+_METRIC_TABLES = "c JOIN lexical USING (doc_id) LEFT JOIN wc USING (doc_id) LEFT JOIN zs USING (doc_id)"
+_METRIC_CTES = (
     COUNTS, TOKENS, LEXICAL, ZIPF, WORDS,
     """zs AS (SELECT doc_id, sum(tf.n * zipf) / sum(tf.n) AS az,
          sum(CASE WHEN zipf < 3.0 THEN tf.n ELSE 0 END) / sum(tf.n) AS rf FROM tf JOIN lexicon ON word = token GROUP BY doc_id)""",
 )
+ORACLE["corpus_metrics"] = _docs(
+    f"SELECT c.doc_id, n_chars, n_words, n_sents, {_cols(_MEASURES)} FROM {_METRIC_TABLES}", *_METRIC_CTES
+)
+_DAY = "(DATE '2000-01-01' + CAST(doc_id // 200 AS INT))"
+ORACLE["history_metrics"] = _docs(
+    f"""SELECT source || '_' || strftime({_DAY}, '%Y%m%d') AS name, CAST(year({_DAY}) AS INT) AS year,
+          strftime({_DAY}, '%Y%m%d') AS timestamp, CAST(CAST({_DAY} AS DATE) AS VARCHAR) AS date,
+          'd' || doc_id || '.txt' AS source_file, c.n_chars, n_words, n_sents, {_cols(_MEASURES)}
+        FROM {_METRIC_TABLES} JOIN (SELECT doc_id, source FROM documents) s USING (doc_id)""",
+    *_METRIC_CTES,
+)
 ORACLE["corpus_upsert"] = """
   WITH u AS (SELECT source || '/' || doc_id % 50 AS name, text, 0 AS s FROM documents
              UNION ALL SELECT 'src1/' || item_id, text, 1 FROM benchmark)
@@ -335,7 +369,8 @@ ORACLE["history_trend"] = f"WITH {_MONTHS} SELECT timestamp, year, n_words, {_r(
 
 def _z(c: str, alias: str, source: str) -> str:
     stats = f"(SELECT {{}}({c}) FROM {source})"
-    return f"{_r(f'({c} - {stats.format('avg')}) / {stats.format('stddev_pop')}')} AS {alias}"
+    score = f"({c} - {stats.format('avg')}) / {stats.format('stddev_pop')}"
+    return f"{_r(f'CASE WHEN {stats.format('stddev_pop')} = 0 THEN 0.0 ELSE {score} END')} AS {alias}"
 
 
 ORACLE["history_zscore"] = (
@@ -354,6 +389,22 @@ FILLED = "g AS (SELECT doc_id, " + ", ".join(f"coalesce({n}, (SELECT median({n})
 ORACLE["median_impute"] = _docs(f"SELECT doc_id, {_cols({n: n for n in _F})} FROM g", COUNTS, FEATURES, FILLED)
 ORACLE["zscore"] = _docs(f"SELECT doc_id, {', '.join(_z(n, n, 'g') for n in _F)} FROM g", COUNTS, FEATURES, FILLED)
 
+_GAPS = _MEASURES | {
+    "n_words": "n_words",
+    "n_sents": "n_sents",
+    "ari": f"CASE WHEN n_words >= 20 THEN {_EXACT['ari']} END",
+    "yule_k": "CASE WHEN n_words % 7 <> 0 THEN yule_k END",
+}
+ORACLE["history_zscore_features"] = _docs(
+    f"""SELECT strftime(DATE '2000-01-01' + CAST(doc_id AS INT), '%Y-%m-%d') AS snapshot,
+          {", ".join(_z(n, n, "g") for n in lx.FEATURES)} FROM g""",
+    *_METRIC_CTES,
+    "f AS (SELECT doc_id, " + ", ".join(f"CAST({_GAPS[n]} AS DOUBLE) AS {n}" for n in lx.FEATURES) + f" FROM {_METRIC_TABLES})",
+    "g AS (SELECT doc_id, " + ", ".join(f"coalesce({n}, (SELECT median({n}) FROM f)) AS {n}" for n in lx.FEATURES) + " FROM f)",
+)
+# A settled result leaves no point nearer to another cluster's mean.
+ORACLE["kmeans4_settled"] = "SELECT count(*) AS n_points, 4 AS n_clusters, 0 AS misplaced FROM embeddings"
+
 # --- neighbours and clusters ------------------------------------------------------------------------------------
 PAIRS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
   pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_distance(a.x, b.x) AS d

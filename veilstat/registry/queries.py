@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilstat import lexicons as lx
 from veilstat.functions import generalize as gz
 from veilstat.functions import pages as pg
 from veilstat.functions import text as tx
@@ -190,6 +191,12 @@ def combination(spark: SparkSession, sf: str) -> DataFrame:
     return deid.combination(v.qi_wide(spark, sf))[1]
 
 
+@query
+def combination_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that the combination keeps, by their identifiers."""
+    return deid.combination(v.qi_wide(spark, sf))[0].select(*v.IDS)
+
+
 # --- text --------------------------------------------------------------------------------
 
 
@@ -368,6 +375,27 @@ def history_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cp.history_zscore(v.history(spark, sf), measures), *measures)
 
 
+@query
+def history_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    out = cp.history_metrics(v.dated_documents(spark, sf), _words(_lexicon(spark, sf)))
+    return rounded(out.withColumn("date", F.col("date").cast("string")), *cp.METRICS[3:])
+
+
+@query
+def history_zscore_features(spark: SparkSession, sf: str) -> DataFrame:
+    """All fifteen features, with missing values and endless ones among them."""
+    metrics = cp.corpus_metrics(v.documents(spark, sf), "doc_id", _words(_lexicon(spark, sf)))
+    day = F.date_format(F.date_add(F.lit("2000-01-01"), F.col("doc_id").cast("int")), "yyyyMMdd")
+    gaps = metrics.withColumn("timestamp", day).withColumns(
+        {
+            "ari": F.when(F.col("n_words") >= 20, F.col("ari")),
+            "yule_k": F.when(F.col("n_words") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("yule_k")),
+        }
+    )
+    out = cp.history_zscore(cut_lineage(gaps), list(lx.FEATURES))
+    return rounded(out, *lx.FEATURES)
+
+
 # --- features --------------------------------------------------------------------------------------
 
 
@@ -450,6 +478,32 @@ def kmeans4(spark: SparkSession, sf: str) -> DataFrame:
     return ln.cluster(points, "point").select("vec_id", "cluster_label")
 
 
+@query
+def kmeans4_settled(spark: SparkSession, sf: str) -> DataFrame:
+    """Points, clusters, and points that are nearer to the mean of another cluster.
+
+    What can be told of a k-means result without its labels: none is.
+    """
+    wide, names = _vectors(spark, sf)
+    points = cut_lineage(ln.project(ft.zscore(wide, names), "vec_id", names))
+    labelled = cut_lineage(ln.cluster(points, "point"))
+    centers = nb.cluster_centroids(labelled, "point", "cluster_label").withColumnRenamed("cluster_label", "c")
+    handful = F.broadcast(centers.agg(F.collect_list(F.struct("c", "centroid")).alias("centers")))
+    x, y = F.col("point")[0], F.col("point")[1]
+
+    def away(c: Column) -> Column:
+        return F.pow(x - c["centroid"][0], 2) + F.pow(y - c["centroid"][1], 2)
+
+    met = labelled.join(handful)
+    own = F.array_min(F.transform(F.filter("centers", lambda c: c["c"] == F.col("cluster_label")), away))
+    least = F.array_min(F.transform("centers", away))
+    return met.agg(
+        F.count(F.lit(1)).alias("n_points"),
+        F.count_distinct("cluster_label").alias("n_clusters"),
+        F.count(F.when(own > least + 1e-3, 1)).alias("misplaced"),
+    )
+
+
 @query
 def text_top2_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return ts.top2_neighbors(v.documents(spark, sf), "doc_id")

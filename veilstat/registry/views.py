@@ -48,6 +48,15 @@ HISTORY = """
 """
 
 
+# Days made from ids; ten ids share a day, so names occur again.
+DATED = """
+  doc_id, text, date_add(DATE '2000-01-01', CAST(doc_id DIV 200 AS INT)) AS date,
+  date_format(date_add(DATE '2000-01-01', CAST(doc_id DIV 200 AS INT)), 'yyyyMMdd') AS timestamp,
+  concat(source, '_', date_format(date_add(DATE '2000-01-01', CAST(doc_id DIV 200 AS INT)), 'yyyyMMdd')) AS name,
+  concat('d', doc_id, '.txt') AS source_file
+"""
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -77,6 +86,12 @@ def index_responses(spark: SparkSession, sf: str) -> DataFrame:
     return _select(table(spark, sf, "events"), INDEX_RESPONSE)
 
 
+def dated_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as snapshots: a source's document of every day, days made from the ids."""
+    docs = documents(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return _select(docs, DATED)
+
+
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """One row per month: orders, mean price, mean key."""
     rows = _select(table(spark, sf, "orders"), HISTORY)
