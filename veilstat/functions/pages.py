@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,26 +37,57 @@ def is_html(c: Column) -> Column:
     return low.contains("<html") | low.contains("</p>")
 
 
-def _decode_numeric(c: Column) -> Column:
-    """Replace ``&#8217;`` and ``&#x2019;`` by their characters."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+# A character reference, or text up to the next one.
+REFERENCE = "&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+# The bytes 128 to 159 stand for characters of this code page in numeric references.
+CODE_PAGE = "windows-1252"
+
+
+def _numeric(reference: Column) -> Column:
+    """The character of ``&#8217;`` or ``&#x2019;``, as browsers read it."""
+    digits = F.regexp_replace(reference, "[&#;xX]", "")
+    is_hex = F.lower(reference).startswith("&#x")
+    # Longer numbers are out of range.
+    short = F.length(F.ltrim(digits, F.lit("0"))) <= F.when(is_hex, 6).otherwise(7)
+    code = F.when(short, F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits)).try_cast("int")
+    page = {b: bytes([b]).decode(CODE_PAGE, "ignore") for b in range(128, 160)}
+    listed = F.lit("".join(c or "?" for c in page.values()))
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    gaps = [b for b, c in page.items() if not c]
+    return (
+        F.when(code.between(128, 159) & ~code.isin(gaps), F.substr(listed, code - 127, F.lit(1)))
+        .when(valid, char)
+        .otherwise(F.lit("\ufffd"))
+    )
 
-    def put(text: Column, entity: Column) -> Column:
-        body = F.regexp_replace(entity, "[&#;]", "")
-        is_hex = F.lower(body).startswith("x")
-        code = F.when(is_hex, F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).cast("int")
-        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(valid, F.replace(text, entity, char)).otherwise(text)
 
-    return F.when(c.contains("&#"), F.aggregate(found, c, put)).otherwise(c)
+def _named(reference: Column) -> Column:
+    """The characters of ``&sect;``; old names also count without their semicolon."""
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    name = F.substr(reference, F.lit(2))
+    longest = max(len(n) for n in html5 if not n.endswith(";"))
+    # From the longest beginning of the name on that is a name itself.
+    sizes = F.sequence(F.least(F.length(name), F.lit(longest)), F.lit(2), F.lit(-1))
+    starts = F.when(F.length(name) >= 2, F.transform(sizes, lambda n: F.substr(name, F.lit(1), n)))
+    start = F.get(F.filter(starts, lambda s: F.map_contains_key(table, s)), 0)
+    begun = F.concat(F.try_element_at(table, start), F.substr(name, F.length(start) + 1))
+    return F.coalesce(F.try_element_at(table, name), begun, reference)
 
 
 def decode_entities(c: Column) -> Column:
-    *named, (ampersand, character) = lx.HTML_ENTITIES
-    for entity, char in named:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.replace(_decode_numeric(c), F.lit(ampersand), F.lit(character))
+    """Character references decoded once, from left to right."""
+    parts = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+
+    def one(part: Column) -> Column:
+        return (
+            F.when(~part.startswith("&") | (part == "&"), part)
+            .when(part == "&amp;", "&")
+            .when(part.startswith("&#"), _numeric(part))
+            .otherwise(_named(part))
+        )
+
+    return F.when(c.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def _visible_text(c: Column, skip: Sequence[str]) -> Column:

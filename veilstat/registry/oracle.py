@@ -321,6 +321,10 @@ def _text(c: str, tags) -> str:
         c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
     for entity, char in lx.HTML_ENTITIES:
         c = f"replace({c}, '{entity.replace(chr(39), chr(39) * 2)}', chr({ord(char)}))"
+    # Names of old also count without their semicolon.
+    for entity, char in lx.HTML_ENTITIES:
+        if entity.startswith(("&amp", "&quot", "&copy", "&middot", "&lt", "&gt", "&reg", "&nbsp")):
+            c = f"replace({c}, '{entity[:-1]}', chr({ord(char)}))"
     return _clean(c)
 
 
