@@ -406,6 +406,36 @@ ORACLE["history_zscore_features"] = _docs(
     "f AS (SELECT doc_id, " + ", ".join(f"CAST({_GAPS[n]} AS DOUBLE) AS {n}" for n in lx.FEATURES) + f" FROM {_METRIC_TABLES})",
     "g AS (SELECT doc_id, " + ", ".join(f"coalesce({n}, (SELECT median({n}) FROM f)) AS {n}" for n in lx.FEATURES) + " FROM f)",
 )
+
+
+def _principal(k: int, matrix: str) -> tuple[str, ...]:
+    """First principal direction of a symmetric matrix (a list of rows): the matrix is squared
+    until nothing but that direction is left; its largest entry is made positive."""
+    product = "list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c)))"
+    scale = "list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))"
+    return (
+        f"s{k}(step, m) AS (SELECT 0, m FROM {matrix} UNION ALL SELECT step + 1, list_transform({product}, lambda r: "
+        f"list_transform(r, lambda x: x / ({scale} * {scale}))) FROM s{k} WHERE step < 40)",
+        f"""w{k} AS (SELECT m[list_position(list_transform(m, lambda r: list_dot_product(r, r)),
+              list_max(list_transform(m, lambda r: list_dot_product(r, r))))] AS w FROM s{k} WHERE step = 40)""",
+        f"""n{k} AS (SELECT list_transform(w, lambda x: x / (sqrt(list_dot_product(w, w)) * sign(
+              w[list_position(list_transform(w, lambda y: abs(y)), list_max(list_transform(w, lambda y: abs(y))))]))) AS v FROM w{k})""",
+    )
+
+
+ORACLE["pca2"] = f"""WITH RECURSIVE e AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i,
+    unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+  moments AS (SELECT i, avg(x) AS a, stddev_pop(x) AS sd FROM e GROUP BY i),
+  z AS (SELECT vec_id, i, CASE WHEN sd = 0 THEN 0.0 ELSE (x - a) / sd END AS z FROM e JOIN moments USING (i)),
+  cells AS (SELECT a.i, b.i AS j, avg(a.z * b.z) AS c FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i),
+  m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cells GROUP BY i)),
+  {", ".join(_principal(1, "m1"))},
+  m2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - v[i] * v[j] *
+      list_dot_product(v, list_transform(m, lambda q: list_dot_product(q, v))))) AS m FROM m1, n1),
+  {", ".join(_principal(2, "m2"))},
+  points AS (SELECT vec_id, list(z ORDER BY i) AS z FROM z GROUP BY vec_id)
+  SELECT vec_id, {_r("list_dot_product(z, n1.v)")} AS pc1, {_r("list_dot_product(z, n2.v)")} AS pc2
+  FROM points, n1, n2"""
 # A settled result leaves no point nearer to another cluster's mean.
 ORACLE["kmeans4_settled"] = "SELECT count(*) AS n_points, 4 AS n_clusters, 0 AS misplaced FROM embeddings"
 
