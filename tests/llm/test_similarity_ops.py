@@ -87,7 +87,9 @@ def test_links_of_random_marks(spark, monkeypatch, crowded, max_bits):
     assert all(root.get(m, m) == min(label[m]) for (m,) in signed)
 
 
-def test_one_of_each_group_stays(spark, frame):
+@pytest.mark.parametrize("ids", [simhash.BROADCAST_IDS, 0])
+def test_one_of_each_group_stays(spark, frame, monkeypatch, ids):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", ids)
     rows = _near_rows() + [(7, sentence(7, 82)), (None, "no id here"), (None, "no id here"),
                            (None, sentence(7, 82)), (9, "another text under a used id")]
     kept = simhash.keep_one(frame(rows)).collect()

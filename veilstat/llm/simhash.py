@@ -16,6 +16,8 @@ from veilstat.llm.common import written
 SEGMENTS = 16
 #: Cells with more fingerprints than this are linked through shared one-bit changes.
 CROWDED = 64
+#: Ids that are broadcast; more are joined.
+BROADCAST_IDS = 1_000_000
 STRETCH = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -212,11 +214,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     return marks.join(labelled, "bits").select("doc_id", text, "component_id")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one document of each group: the one with the least id.
 
     Rows whose id is null or occurs again are told apart by their fingerprints;
-    of those that agree in both, the first by text stays.
+    of those that agree in both, the first by text stays.  Texts are not
+    shuffled while the ids that go, and those that occur again, fit a broadcast.
     """
     marks, nodes = _groups(docs, words, max_bits)
     own = marks.groupBy("bits").agg(F.min("doc_id").alias("doc_id")).join(nodes, "bits")
@@ -224,15 +232,19 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     kept = own.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.bits")
     kept = written(kept, "kept")
     counted = marks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    again = counted.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again"))
+    again = written(counted.filter("n > 1 or doc_id is null").select("doc_id"), "again")
 
+    dropped = marks.join(kept, ["doc_id", "bits"], "left_anti").select("doc_id")
+    gone = written(dropped.union(again).distinct(), "gone").withColumnRenamed("doc_id", "_gone")
     key = F.col("doc_id").cast("long")
-    once = kept.join(again, kept["doc_id"].eqNullSafe(again["_again"]), "left_anti")
-    plain = docs.join(once.select(F.col("doc_id").alias("_kept")), key == F.col("_kept"), "left_semi")
+    plain = docs.join(_small(gone), key.eqNullSafe(F.col("_gone")), "left_anti")
+    if not again.limit(1).count():
+        return plain
 
-    twice = docs.join(again, key.eqNullSafe(F.col("_again")), "left_semi")
+    several = _small(again.withColumnRenamed("doc_id", "_again"))
+    twice = written(docs.join(several, key.eqNullSafe(F.col("_again")), "left_semi"), "twice")
     mark = F.udf(lambda t: int(np.array(fingerprint(t, words), np.uint64).view(np.int64)), "long")
-    rows = twice.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows = twice.select(F.struct(*[twice[c] for c in docs.columns]).alias("_row"))
     rows = rows.withColumn("_bits", mark("_row.text")).withColumn("_id", F.col("_row.doc_id").cast("long"))
     pairs = kept.select(F.col("doc_id").alias("_kid"), F.col("bits").alias("_kbits"))
     rows = rows.join(pairs, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_bits") == F.col("_kbits")))
