@@ -448,6 +448,16 @@ PAIRS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM emb
 ORACLE["nearest_overall"] = (
     f"WITH {PAIRS} SELECT vec_id, b AS neighbor, {_r('d', 4)} AS distance FROM e LEFT JOIN any1 ON a = vec_id"
 )
+ORACLE["nearest_features"] = _docs(
+    f"""SELECT doc_id, neighbor, {_r('d', 4)} AS distance FROM h LEFT JOIN
+          (SELECT a.doc_id, b.doc_id AS neighbor, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d
+           FROM h a JOIN h b ON a.doc_id <> b.doc_id
+           QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY d, b.doc_id) = 1) USING (doc_id)""",
+    COUNTS,
+    FEATURES,
+    FILLED,
+    f"h AS (SELECT doc_id, {_z('coleman_liau', 'x', 'g')}, {_z('ari', 'y', 'g')} FROM g)",
+)
 ORACLE["nearest_same_cluster"] = (
     f"WITH {PAIRS} SELECT vec_id, b AS neighbor, {_r('d', 4)} AS distance FROM e LEFT JOIN same1 ON a = vec_id"
 )

@@ -432,6 +432,15 @@ def nearest_overall(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "distance", digits=4)
 
 
+@query
+def nearest_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest documents in two standardized measures, where most cells are pruned."""
+    measures = ["coleman_liau", "ari"]
+    scaled = ft.zscore(ft.median_impute(_document_features(spark, sf), measures), measures)
+    points = rounded(scaled, *measures).select("doc_id", F.array(*measures).alias("v"))
+    return rounded(nb.nearest(cut_lineage(points), "doc_id", "v"), "distance", digits=4)
+
+
 @query
 def nearest_same_cluster(spark: SparkSession, sf: str) -> DataFrame:
     out = nb.nearest(v.table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
