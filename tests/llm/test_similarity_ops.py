@@ -92,7 +92,7 @@ def test_one_of_each_group_stays(spark, frame, monkeypatch, ids):
     monkeypatch.setattr(simhash, "BROADCAST_IDS", ids)
     rows = _near_rows() + [(7, sentence(7, 82)), (None, "no id here"), (None, "no id here"),
                            (None, sentence(7, 82)), (9, "another text under a used id")]
-    kept = simhash.keep_one(frame(rows)).collect()
+    kept = simhash.keep_one(frame(rows), similarity=None).collect()
     by_mark = {}
     for k, t in rows:
         by_mark.setdefault(_fingerprint(t), []).append(k)
@@ -106,6 +106,28 @@ def test_one_of_each_group_stays(spark, frame, monkeypatch, ids):
     assert simhash.keep_one(frame(rows).limit(0)).count() == 0
 
 
+def _shingles(text: str, k: int = 5) -> set:
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def test_similar_texts_are_groups(frame):
+    rows = [(i, sentence(i, 120)) for i in range(40)]
+    for i in range(40):  # up to nine changed words, similarities on both sides of 0.8
+        words = sentence(i, 120).split()
+        for j in range(i % 10):
+            words[(17 * j + i) % 120] = f"w{j}"
+        rows.append((100 + i, " ".join(words)))
+    kept = {r.doc_id for r in simhash.keep_one(frame(rows)).collect()}
+    texts = dict(rows)
+    for i in range(40):
+        a, b = _shingles(texts[i]), _shingles(texts[100 + i])
+        alike = len(a & b) / len(a | b)
+        bits = (_fingerprint(texts[i]) ^ _fingerprint(texts[100 + i])).bit_count()
+        assert i in kept
+        assert (100 + i in kept) == (alike < 0.8 and bits > 2), (i, alike, bits)
+
+
 def test_long_chains_are_one_component(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

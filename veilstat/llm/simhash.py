@@ -16,6 +16,9 @@ from veilstat.llm.common import written
 SEGMENTS = 16
 #: Cells with more fingerprints than this are linked through shared one-bit changes.
 CROWDED = 64
+#: Sampled fingerprints of a text, each of three shingles.
+TABLES = 8
+_SEEDS = np.random.default_rng(29).integers(1, 1 << 63, 3 * TABLES).astype(np.uint64)
 #: Ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
 STRETCH = 1 << 20
@@ -61,19 +64,61 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, bits): one fingerprint per document, as a signed long."""
+def shingle_hashes(text: str | None, words: int = 5) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, a stretch at a time; one at least."""
+    from xxhash import xxh64_intdigest
+
+    held: list[bytes] = []
+    some = False
+    for part in _word_lists((text or "").encode().lower()):
+        held += part
+        if len(held) >= words:
+            found = [b" ".join(held[i : i + words]) for i in range(len(held) - words + 1)]
+            yield np.array([xxh64_intdigest(x, 42) for x in found], np.uint64)
+            held, some = held[len(held) - words + 1 :], True
+    if not some:
+        yield np.array([xxh64_intdigest(b" ".join(held), 42)], np.uint64)
+
+
+def samples(text: str | None, words: int = 5) -> list[int]:
+    """``TABLES`` SimHashes, each of three shingles drawn by least mixed hash.
+
+    Two texts draw the same shingle with the probability of their similarity, so
+    at 0.8 one of eight such fingerprints is equal with probability 0.997.
+    """
+    least = np.full(3 * TABLES, np.iinfo(np.uint64).max, np.uint64)
+    drawn = np.zeros(3 * TABLES, np.uint64)
+    with np.errstate(over="ignore"):
+        for hashes in shingle_hashes(text, words):
+            for i in range(3 * TABLES):
+                mixed = (hashes ^ _SEEDS[i]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+                at = int(mixed.argmin())
+                if mixed[at] <= least[i]:
+                    least[i], drawn[i] = mixed[at], hashes[at]
+    a, b, c = drawn[0::3], drawn[1::3], drawn[2::3]
+    return ((a & b) | (b & c) | (a & c)).view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, words: int = 3, sampled: int | None = None) -> DataFrame:
+    """(doc_id, bits): one fingerprint per document, as a signed long.
+
+    With ``sampled``, also ``samples`` over shingles of so many words.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            bits = np.array(marks, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(bits)], names=["doc_id", "bits"]
-            )
+            texts = [t.as_py() for t in batch.column(1)]
+            bits = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            columns, names = [batch.column(0), pa.array(bits)], ["doc_id", "bits"]
+            if sampled:
+                drawn = [samples(t, sampled) for t in texts]
+                columns.append(pa.array(drawn, pa.list_(pa.int64())))
+                names.append("samples")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, "doc_id long, bits long")
+    return rows.mapInArrow(each, "doc_id long, bits long" + ", samples array<long>" * bool(sampled))
 
 
 def _long(value: int) -> Column:
@@ -187,13 +232,54 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots.distinct())
 
 
-def _groups(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(docs: DataFrame, marks: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints whose texts have that similarity of shingle sets.
+
+    Texts that share a sample are held against the one of least fingerprint
+    among them, so pairs grow with the texts; each pair is checked exactly.
+    Only texts with an id are compared, one for each fingerprint.
+    """
+    one = marks.filter("doc_id is not null").groupBy("bits").agg(F.min(F.struct("doc_id", "samples")).alias("m"))
+    one = written(one.select("bits", "m.doc_id", "m.samples"), "one")
+    drawn = one.select("bits", F.posexplode("samples").alias("place", "sample"))
+    met = drawn.groupBy("place", "sample").agg(F.min("bits").alias("a"), F.count("*").alias("n"))
+    pairs = drawn.join(met.filter("n > 1"), ["place", "sample"]).select("a", F.col("bits").alias("b"))
+    pairs = written(pairs.filter("a <> b").distinct(), "pairs")
+
+    asked = pairs.select(F.col("a").alias("bits")).union(pairs.select("b")).distinct()
+    asked = written(one.join(asked, "bits").select("bits", F.col("doc_id").alias("_id")), "asked")
+    key = F.col("doc_id").cast("long")
+    texts = docs.join(_small(asked), key == F.col("_id")).select("bits", F.col("text").cast("string"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [
+                np.unique(np.concatenate(list(shingle_hashes(t.as_py(), words)))).view(np.int64)
+                for t in batch.column(1)
+            ]
+            found = pa.array(sets, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["bits", "held"])
+
+    sets = texts.mapInArrow(each, "bits long, held array<long>")
+    # An id that occurs again may bring texts of another fingerprint; one is taken.
+    sets = written(sets, "sets").groupBy("bits").agg(F.min("held").alias("held"))
+    left = sets.select(F.col("bits").alias("a"), F.col("held").alias("left"))
+    right = sets.select(F.col("bits").alias("b"), F.col("held").alias("right"))
+    shared = F.size(F.array_intersect("left", "right"))
+    alike = shared / (F.size("left") + F.size("right") - shared)
+    return pairs.join(left, "a").join(right, "b").filter(alike >= similarity).select("a", "b")
+
+
+def _groups(docs: DataFrame, words: int, max_bits: int, similarity: float | None = None, set_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """Written fingerprints of documents, and (bits, root) of each fingerprint."""
-    marks = written(fingerprints(docs, words), "marks")
+    marks = written(fingerprints(docs, words, set_words if similarity else None), "marks")
     nodes = marks.select("bits").distinct()
-    roots = written(components(links(nodes, max_bits)), "roots")
+    edges = links(nodes, max_bits)
+    if similarity:
+        edges = edges.union(similar_pairs(docs, marks, similarity, set_words))
+    roots = written(components(edges), "roots")
     nodes = nodes.join(roots, nodes["bits"] == roots["node"], "left")
-    return marks, nodes.select("bits", F.coalesce("root", "bits").alias("root"))
+    return marks.drop("samples"), nodes.select("bits", F.coalesce("root", "bits").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -219,14 +305,19 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """``docs`` with one document of each group: the one with the least id.
 
+    Groups are linked by fingerprints and, with ``similarity``, by texts whose
+    sets of five-word shingles are so similar: at that similarity fingerprints
+    of 64 bits differ in more bits than can be searched, so such pairs are found
+    by fingerprints of samples and checked exactly.
+
     Rows whose id is null or occurs again are told apart by their fingerprints;
     of those that agree in both, the first by text stays.  Texts are not
     shuffled while the ids that go, and those that occur again, fit a broadcast.
     """
-    marks, nodes = _groups(docs, words, max_bits)
+    marks, nodes = _groups(docs, words, max_bits, similarity)
     own = marks.groupBy("bits").agg(F.min("doc_id").alias("doc_id")).join(nodes, "bits")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "bits")
     kept = own.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.bits")
