@@ -17,7 +17,7 @@ import numpy as np
 _LAST = 0x52F
 _SPACES = "\t-\r \x85\xa0"
 #: Words that a worker remembers; later ones are encoded anew each time.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Characters that are cut into words at once.
 STRETCH = 1 << 20
 

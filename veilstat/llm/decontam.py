@@ -17,7 +17,7 @@ EDITS = 0.1
 #: Characters of benchmark items that one pass over the documents takes along.
 BLOCK_CHARS = 4_000_000
 #: Characters of documents that a worker searches at once.
-PORTION = 1 << 20
+PORTION = 1 << 18
 _BITS = 22
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -282,13 +282,13 @@ def label(docs: DataFrame, least: float, per_language: int = TRAINING_WINDOWS) -
 
 
 def _portions(texts: pa.Array, rows: list[int]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Rows and their bytes, in portions of about four million bytes."""
+    """Rows and their bytes, in portions of about a million bytes."""
     held, raw, size = [], [], 0
     for i in rows:
         held.append(i)
         raw.append(texts[i].as_py().encode())
         size += len(raw[-1])
-        if size > 4 << 20:
+        if size > 1 << 20:
             yield held, raw
             held, raw, size = [], [], 0
     if held:

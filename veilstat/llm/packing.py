@@ -156,7 +156,8 @@ def pack(
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 packer.add(doc_id.as_py(), encode(text.as_py(), end_id))
-            yield packer.take()
+                if len(packer.rows) >= 8192:
+                    yield packer.take()
         packer.close()
         yield packer.take()
 

@@ -87,15 +87,16 @@ def samples(text: str | None, words: int = 5) -> list[int]:
     at 0.8 one of eight such fingerprints is equal with probability 0.997.
     """
     least = np.full(3 * TABLES, np.iinfo(np.uint64).max, np.uint64)
-    drawn = np.zeros(3 * TABLES, np.uint64)
-    with np.errstate(over="ignore"):
-        for hashes in shingle_hashes(text, words):
-            for i in range(3 * TABLES):
-                mixed = (hashes ^ _SEEDS[i]) * np.uint64(0x9E3779B97F4A7C15)
+    drawn, rows = np.zeros(3 * TABLES, np.uint64), np.arange(3 * TABLES)
+    for found in shingle_hashes(text, words):
+        for i in range(0, len(found), 4096):
+            hashes = found[i : i + 4096]
+            with np.errstate(over="ignore"):
+                mixed = (hashes ^ _SEEDS[:, None]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
-                at = int(mixed.argmin())
-                if mixed[at] <= least[i]:
-                    least[i], drawn[i] = mixed[at], hashes[at]
+            at = mixed.argmin(axis=1)
+            lower = mixed[rows, at] <= least
+            least[lower], drawn[lower] = mixed[rows, at][lower], hashes[at][lower]
     a, b, c = drawn[0::3], drawn[1::3], drawn[2::3]
     return ((a & b) | (b & c) | (a & c)).view(np.int64).tolist()
 
@@ -108,11 +109,15 @@ def fingerprints(docs: DataFrame, words: int = 3, sampled: int | None = None) ->
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            bits = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            marks, drawn = [], []
+            for value in batch.column(1):  # one text at a time is held twice
+                text = value.as_py()
+                marks.append(fingerprint(text, words))
+                if sampled:
+                    drawn.append(samples(text, sampled))
+            bits = np.array(marks, np.uint64).view(np.int64)
             columns, names = [batch.column(0), pa.array(bits)], ["doc_id", "bits"]
             if sampled:
-                drawn = [samples(t, sampled) for t in texts]
                 columns.append(pa.array(drawn, pa.list_(pa.int64())))
                 names.append("samples")
             yield pa.RecordBatch.from_arrays(columns, names=names)
