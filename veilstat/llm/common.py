@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from veilstat.session import ensure_checkpoint_dir
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +28,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, about to be read by a Python function: batches of a thousand texts.
+
+    Spark's ten thousand rows in an Arrow batch are meant for numbers; with
+    texts they fill the memory beside the heap several times over.  A value that
+    someone has set is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_ROWS) == "10000":
+        conf.set(_BATCH_ROWS, "1000")
+    return df
+
+
 def remainder(key: str, divisor: int):
     """crc32 of the key's decimal text, modulo ``divisor`` (null key: null)."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(divisor)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstat.llm.common import text_batches
+
 #: Characters of a q-gram.
 Q = 8
 #: Share of an item's characters that may be edited.
@@ -266,7 +268,7 @@ def find(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_char
                 columns = [pa.array(c, pa.int64()) for c in (ids, held, least)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "edits"])
 
-        return rows.mapInArrow(each, schema)
+        return text_batches(rows).mapInArrow(each, schema)
 
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, block_chars):
@@ -286,5 +288,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, b
                 clean = [not found for found in _search_batch(items, batch.column(place))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(each, docs.schema)
+        docs = text_batches(docs).mapInArrow(each, docs.schema)
     return docs

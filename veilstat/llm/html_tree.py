@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from veilstat.llm.common import written
+from veilstat.llm.common import text_batches, written
 
 #: Weight of content against presentation, to the power of a node's number of styles.
 GAMMA = 0.9
@@ -275,7 +275,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), F.col("html").cast("string"))
-    parsed = written(rows.mapInArrow(each, schema), "pages")
+    parsed = written(text_batches(rows).mapInArrow(each, schema), "pages")
 
     facts = parsed.select("host", "mark", F.inline(F.arrays_zip("nodes", "kinds", "values")))
     facts = facts.groupBy("host", "nodes", "kinds", "values", "mark").agg(F.lit(1).alias("one"))

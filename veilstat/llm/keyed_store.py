@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilstat.llm.bpe import default_vocabulary, encoder
+from veilstat.llm.common import text_batches
 
 #: Payload bytes after which a shard is closed; a document is never split.
 SHARD_BYTES = 4 << 20
@@ -186,7 +187,7 @@ def write_store(
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    encoded = ordered.mapInArrow(encode, SHARD_SCHEMA)
+    encoded = text_batches(ordered).mapInArrow(encode, SHARD_SCHEMA)
     encoded.write.option("compression", "zstd").parquet(path)
 
 

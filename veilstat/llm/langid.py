@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstat.llm.common import remainder
+from veilstat.llm.common import remainder, text_batches
 
 HIDDEN = 4
 #: Bytes that the network reads at once; it starts anew at each window.
@@ -252,7 +252,7 @@ def predict(docs: DataFrame, per_language: int = TRAINING_WINDOWS) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out, letter)
-    return rows.mapInArrow(each, "doc_id long, held_out boolean, lang_pred string, score double")
+    return text_batches(rows).mapInArrow(each, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def label(docs: DataFrame, least: float, per_language: int = TRAINING_WINDOWS) -> DataFrame:
@@ -278,7 +278,7 @@ def label(docs: DataFrame, least: float, per_language: int = TRAINING_WINDOWS) -
             out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
             yield out.filter(keep)
 
-    return docs.select("*", letter).mapInArrow(each, docs.schema)
+    return text_batches(docs.select("*", letter)).mapInArrow(each, docs.schema)
 
 
 def _portions(texts: pa.Array, rows: list[int]) -> Iterator[tuple[list[int], list[bytes]]]:

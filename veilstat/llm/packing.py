@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstat.llm.bpe import default_vocabulary, encoder
+from veilstat.llm.common import text_batches
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long,"
@@ -162,4 +163,4 @@ def pack(
         yield packer.take()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(deal, SCHEMA)
+    return text_batches(rows).mapInArrow(deal, SCHEMA)

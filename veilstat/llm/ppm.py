@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstat.llm.common import remainder, written
+from veilstat.llm.common import remainder, text_batches, written
 
 #: Bytes of context.
 ORDER = 5
@@ -19,13 +19,13 @@ BEFORE, END = 0xFE, 0xFF
 #: Text bytes that a worker handles at once.
 PORTION = 2 << 20
 #: Distinct (context, byte) pairs of one slice of the trie; a slice is broadcast.
-SLICE_GRAMS = 6_000_000
+SLICE_GRAMS = 2_500_000
 #: Pairs that a worker counts before it sends them on.
-PAIRS_HELD = 3_000_000
+PAIRS_HELD = 1_200_000
 #: Words, and bytes of words, that are broadcast with their counts; the rest is joined.
-HEAD_WORDS, HEAD_BYTES = 400_000, 16 << 20
+HEAD_WORDS, HEAD_BYTES = 200_000, 8 << 20
 #: Distinct words that a worker counts before it sends them on.
-WORDS_HELD = 400_000
+WORDS_HELD = 250_000
 
 
 def grams(texts: list[bytes]) -> np.ndarray:
@@ -77,6 +77,8 @@ def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Trie:
     """Log10 probability of a byte after its context, with escapes and exclusion.
 
+    Built from pairs of a context and a byte, in order, and their counts.
+
     At the longest context that was seen, a byte seen after it n times has n of
     total + kinds shares; the other kinds' shares are the escape to the context
     one byte shorter, where bytes already ruled out above are left out of the
@@ -86,13 +88,11 @@ class Trie:
     """
 
     def __init__(self, pairs, counts, short_pairs, short_counts):
-        order = np.argsort(pairs)
-        levels = {ORDER: Level(pairs[order], counts[order])}
+        levels = {ORDER: Level(pairs, counts)}
         for k in range(ORDER - 1, 1, -1):
             upper = levels[k + 1]
             levels[k] = Level(*_summed(_masked(upper.pairs, k), upper.counts))
-        order = np.argsort(short_pairs)
-        levels[1] = Level(short_pairs[order], short_counts[order])
+        levels[1] = Level(short_pairs, short_counts)
         levels[0] = Level(*_summed(_masked(levels[1].pairs, 0), levels[1].counts))
         self.levels = levels
         self.ruled_out = {}
@@ -204,9 +204,12 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def merge() -> None:
+            held[:] = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+
         def flush() -> pa.RecordBatch:
-            pairs, n = _summed(*(np.concatenate(x) for x in zip(*held)))
-            held.clear()
+            merge()
+            pairs, n = held.pop()
             return pa.RecordBatch.from_arrays(
                 [pa.array(pairs.astype(np.int64)), pa.array(n)], names=["pair", "n"]
             )
@@ -214,12 +217,14 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for _, part in _portions(batch, 0):
                 held.append(np.unique(grams(part), return_counts=True))
-                if sum(len(p) for p, _ in held) > PAIRS_HELD:
-                    yield flush()
+                if sum(len(p) for p, _ in held) > 1.5 * PAIRS_HELD:
+                    merge()
+                    if len(held[0][0]) > PAIRS_HELD:
+                        yield flush()
         if held:
             yield flush()
 
-    found = texts.select("text").mapInArrow(count, "pair long, n long")
+    found = text_batches(texts.select("text")).mapInArrow(count, "pair long, n long")
     return found.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -243,7 +248,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    found = texts.select("text").mapInArrow(count, "word binary, n long")
+    found = text_batches(texts.select("text")).mapInArrow(count, "word binary, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -266,8 +271,11 @@ def _head(words: DataFrame, most: int) -> DataFrame:
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order, and their counts."""
     got = df.toArrow()
-    return got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()
+    pairs, counts = got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(pairs)
+    return pairs[order], counts[order]
 
 
 def score(docs: DataFrame, divisor: int = 7, held: int = 2, slice_grams: int = SLICE_GRAMS,
@@ -352,7 +360,7 @@ def score(docs: DataFrame, divisor: int = 7, held: int = 2, slice_grams: int = S
                 )
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    scored = written(numbered.mapInArrow(each, schema), "scored")
+    scored = written(text_batches(numbered).mapInArrow(each, schema), "scored")
 
     rest = scored.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.n")
     counts = words.select("word", F.col("n").alias("c"))

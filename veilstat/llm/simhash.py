@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstat.llm.common import written
+from veilstat.llm.common import text_batches, written
 
 #: Segments of a fingerprint; each has 64 / SEGMENTS = 4 bits, so a count fits four bits.
 SEGMENTS = 16
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, words: int = 3, sampled: int | None = None) ->
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, "doc_id long, bits long" + ", samples array<long>" * bool(sampled))
+    return text_batches(rows).mapInArrow(each, "doc_id long, bits long" + ", samples array<long>" * bool(sampled))
 
 
 def _long(value: int) -> Column:

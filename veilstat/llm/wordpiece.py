@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstat.llm.bpe import default_vocabulary
+from veilstat.llm.common import text_batches
 
 #: Words whose length a worker remembers; later ones are measured anew each time.
 REMEMBERED = 500_000
@@ -131,4 +132,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(count, "doc_id long, n_words long, n_tokens long")
+    return text_batches(rows).mapInArrow(count, "doc_id long, n_words long, n_tokens long")
