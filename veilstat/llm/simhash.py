@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -16,9 +17,12 @@ from veilstat.llm.common import text_batches, written
 SEGMENTS = 16
 #: Cells with more fingerprints than this are linked through shared one-bit changes.
 CROWDED = 64
-#: Sampled fingerprints of a text, each of three shingles.
-TABLES = 8
-_SEEDS = np.random.default_rng(29).integers(1, 1 << 63, 3 * TABLES).astype(np.uint64)
+#: One of so many texts is read to learn common shingles; one seen in so many of them is common.
+COMMON_PART, COMMON_SEEN = 16, 8
+#: Common shingles that are broadcast.
+COMMON_MOST = 500_000
+#: Orders in which the texts that share a shingle choose the one that all are held against first.
+_TURNS = np.random.default_rng(29).integers(0, 1 << 63, 8).tolist()
 #: Ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
 STRETCH = 1 << 20
@@ -80,50 +84,76 @@ def shingle_hashes(text: str | None, words: int = 5) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(b" ".join(held), 42)], np.uint64)
 
 
-def samples(text: str | None, words: int = 5) -> list[int]:
-    """``TABLES`` SimHashes, each of three shingles drawn by least mixed hash.
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending."""
+    return np.unique(np.concatenate(list(shingle_hashes(text, words))))
 
-    Two texts draw the same shingle with the probability of their similarity, so
-    at 0.8 one of eight such fingerprints is equal with probability 0.997.
+
+def set_key(held: np.ndarray) -> int:
+    """One number for a set of shingles, as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(held.tobytes(), 7) - (1 << 63)
+
+
+def prefix(held: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The shingles of which two sets at ``similarity`` or more share one at least.
+
+    Such sets share ``similarity`` of either's shingles.  So of the first ones,
+    in an order that is the same for all sets, as many as may be missing and one
+    more hold a shared one.  Any order is right; ``common`` ones come last.
     """
-    least = np.full(3 * TABLES, np.iinfo(np.uint64).max, np.uint64)
-    drawn, rows = np.zeros(3 * TABLES, np.uint64), np.arange(3 * TABLES)
-    for found in shingle_hashes(text, words):
-        for i in range(0, len(found), 4096):
-            hashes = found[i : i + 4096]
-            with np.errstate(over="ignore"):
-                mixed = (hashes ^ _SEEDS[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-            at = mixed.argmin(axis=1)
-            lower = mixed[rows, at] <= least
-            least[lower], drawn[lower] = mixed[rows, at][lower], hashes[at][lower]
-    a, b, c = drawn[0::3], drawn[1::3], drawn[2::3]
-    return ((a & b) | (b & c) | (a & c)).view(np.int64).tolist()
-
-
-def fingerprints(docs: DataFrame, words: int = 3, sampled: int | None = None) -> DataFrame:
+    if len(common):
+        at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+        last = common[at] == held
+        held = np.concatenate([held[~last], held[last]])
+    return held[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame, words: int = 5) -> np.ndarray:
+    """Ascending hashes of shingles that many texts hold, as told by a part of the texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                held = shingle_set(value.as_py(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(held)], names=["shingle"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(COMMON_PART)) == 0)
+    seen = text_batches(texts).mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    seen = seen.filter(F.col("n") >= COMMON_SEEN).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST)
+    return np.sort(seen.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def fingerprints(docs: DataFrame, words: int = 3, similarity: float | None = None, set_words: int = 5) -> DataFrame:
     """(doc_id, bits): one fingerprint per document, as a signed long.
 
-    With ``sampled``, also ``samples`` over shingles of so many words.
+    With ``similarity``, also ``key``, one number for the set of shingles of
+    ``set_words`` words, and ``prefix``, those by which similar sets are found.
     """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, set_words)) if similarity else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, drawn = [], []
+            marks, keys, drawn = [], [], []
             for value in batch.column(1):  # one text at a time is held twice
                 text = value.as_py()
                 marks.append(fingerprint(text, words))
-                if sampled:
-                    drawn.append(samples(text, sampled))
+                if similarity:
+                    held = shingle_set(text, set_words)
+                    keys.append(set_key(held))
+                    drawn.append(prefix(held, similarity, common.value).view(np.int64))
             bits = np.array(marks, np.uint64).view(np.int64)
             columns, names = [batch.column(0), pa.array(bits)], ["doc_id", "bits"]
-            if sampled:
-                columns.append(pa.array(drawn, pa.list_(pa.int64())))
-                names.append("samples")
+            if similarity:
+                columns += [pa.array(keys, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))]
+                names += ["key", "prefix"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text_batches(rows).mapInArrow(each, "doc_id long, bits long" + ", samples array<long>" * bool(sampled))
+    more = ", key long, prefix array<long>" if similarity else ""
+    return text_batches(rows).mapInArrow(each, "doc_id long, bits long" + more)
 
 
 def _long(value: int) -> Column:
@@ -237,54 +267,87 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots.distinct())
 
 
-def similar_pairs(docs: DataFrame, marks: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints whose texts have that similarity of shingle sets.
+def similar_links(docs: DataFrame, marks: DataFrame, edges: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``edges`` and pairs (a, b) of fingerprints that join all texts of that similarity of shingle sets.
 
-    Texts that share a sample are held against the one of least fingerprint
-    among them, so pairs grow with the texts; each pair is checked exactly.
-    Only texts with an id are compared, one for each fingerprint.
+    Every two such texts share a shingle of their prefixes.  First the texts that
+    share one are held against one of them, so pairs grow with the texts; then
+    all pairs that share one and are in different groups yet are compared.
+    Equal sets are one text.
     """
-    one = marks.filter("doc_id is not null").groupBy("bits").agg(F.min(F.struct("doc_id", "samples")).alias("m"))
-    one = written(one.select("bits", "m.doc_id", "m.samples"), "one")
-    drawn = one.select("bits", F.posexplode("samples").alias("place", "sample"))
-    met = drawn.groupBy("place", "sample").agg(F.min("bits").alias("a"), F.count("*").alias("n"))
-    pairs = drawn.join(met.filter("n > 1"), ["place", "sample"]).select("a", F.col("bits").alias("b"))
-    pairs = written(pairs.filter("a <> b").distinct(), "pairs")
-
-    asked = pairs.select(F.col("a").alias("bits")).union(pairs.select("b")).distinct()
-    asked = written(one.join(asked, "bits").select("bits", F.col("doc_id").alias("_id")), "asked")
+    one = marks.groupBy("key").agg(F.min("bits").alias("node"), F.min("doc_id").alias("_id"))
+    one = written(one, "one")
+    same = marks.join(one, "key").select(F.col("node").alias("a"), F.col("bits").alias("b"))
+    edges = edges.union(same.filter("a <> b").distinct())
+
+    drawn = marks.select("key", F.explode("prefix").alias("shingle"))
+    met = drawn.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    met = written(met.filter("low <> high").select("shingle"), "met")
+    posts = written(drawn.join(met, "shingle").distinct(), "posts")
+    asked = written(posts.select("key").distinct().join(one, "key"), "asked")
+    sets = _shingle_sets(docs, asked, words)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct(), "pairs")
+        left, right = (sets.select(*[F.col(c).alias(c + s) for c in sets.columns]) for s in "ab")
+        large, small = F.greatest("sizea", "sizeb"), F.least("sizea", "sizeb")
+        size = sets.select("key", "size")
+        fit = pairs.join(size.toDF("a", "sizea"), "a").join(size.toDF("b", "sizeb"), "b")
+        fit = fit.filter(small >= similarity * large - 1e-9).select("a", "b")
+        shared = F.size(F.array_intersect("helda", "heldb"))
+        share = shared / (F.col("sizea") + F.col("sizeb") - shared)
+        both = fit.join(left, fit["a"] == left["keya"]).join(right, fit["b"] == right["keyb"])
+        both = both.filter(share >= similarity).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+        return both.filter("a <> b").distinct()
+
+    turn = F.element_at(F.array(*[F.lit(t).cast("long") for t in _TURNS]), (F.pmod("shingle", F.lit(8)) + 1).cast("int"))
+    hubs = posts.groupBy("shingle").agg(F.min(F.col("key").bitwiseXOR(turn)).alias("m"))
+    hubs = hubs.select("shingle", F.col("m").bitwiseXOR(turn).alias("hub"))
+    stars = posts.join(hubs, "shingle").filter("key <> hub")
+    stars = stars.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+    edges = written(edges.union(alike(stars)), "linked")
+
+    roots = written(components(edges), "roots")
+    known = asked.join(roots, asked["node"] == roots["node"], "left")
+    known = known.select("key", F.coalesce("root", asked["node"]).alias("root"))
+    rooted = written(posts.join(known, "key"), "rooted")
+    apart = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rooted = written(rooted.join(apart.filter("low <> high").select("shingle"), "shingle"), "apart")
+    left, right = rooted.toDF("shingle", "a", "roota"), rooted.toDF("shingle", "b", "rootb")
+    crossed = left.join(right, "shingle").filter("a < b and roota <> rootb").select("a", "b")
+    return edges.union(alike(crossed))
+
+
+def _shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(key, node, size, held): the sets of ``asked`` (key, node, _id), written."""
     key = F.col("doc_id").cast("long")
-    texts = docs.join(_small(asked), key == F.col("_id")).select("bits", F.col("text").cast("string"))
+    ids = _small(asked.select("_id").distinct())
+    texts = docs.join(ids, key.eqNullSafe(F.col("_id")), "left_semi").select(F.col("text").cast("string"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [
-                np.unique(np.concatenate(list(shingle_hashes(t.as_py(), words)))).view(np.int64)
-                for t in batch.column(1)
-            ]
-            found = pa.array(sets, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["bits", "held"])
-
-    sets = texts.mapInArrow(each, "bits long, held array<long>")
-    # An id that occurs again may bring texts of another fingerprint; one is taken.
-    sets = written(sets, "sets").groupBy("bits").agg(F.min("held").alias("held"))
-    left = sets.select(F.col("bits").alias("a"), F.col("held").alias("left"))
-    right = sets.select(F.col("bits").alias("b"), F.col("held").alias("right"))
-    shared = F.size(F.array_intersect("left", "right"))
-    alike = shared / (F.size("left") + F.size("right") - shared)
-    return pairs.join(left, "a").join(right, "b").filter(alike >= similarity).select("a", "b")
+            for start in range(0, batch.num_rows, 100):
+                sets = [shingle_set(t.as_py(), words) for t in batch.column(0).slice(start, 100)]
+                keys = pa.array([set_key(s) for s in sets], pa.int64())
+                held = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, held], names=["key", "held"])
+
+    # An id that occurs again may bring other texts, too: those of keys not asked for go.
+    sets = text_batches(texts).mapInArrow(each, "key long, held array<long>")
+    sets = sets.join(asked.select("key", "node"), "key").groupBy("key", "node").agg(F.first("held").alias("held"))
+    return written(sets.select("key", "node", F.size("held").alias("size"), "held"), "sets")
 
 
 def _groups(docs: DataFrame, words: int, max_bits: int, similarity: float | None = None, set_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """Written fingerprints of documents, and (bits, root) of each fingerprint."""
-    marks = written(fingerprints(docs, words, set_words if similarity else None), "marks")
+    marks = written(fingerprints(docs, words, similarity, set_words), "marks")
     nodes = marks.select("bits").distinct()
     edges = links(nodes, max_bits)
     if similarity:
-        edges = edges.union(similar_pairs(docs, marks, similarity, set_words))
+        edges = similar_links(docs, marks, edges, similarity, set_words)
     roots = written(components(edges), "roots")
     nodes = nodes.join(roots, nodes["bits"] == roots["node"], "left")
-    return marks.drop("samples"), nodes.select("bits", F.coalesce("root", "bits").alias("root"))
+    return marks.select("doc_id", "bits"), nodes.select("bits", F.coalesce("root", "bits").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -316,7 +379,7 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, similarity: flo
     Groups are linked by fingerprints and, with ``similarity``, by texts whose
     sets of five-word shingles are so similar: at that similarity fingerprints
     of 64 bits differ in more bits than can be searched, so such pairs are found
-    by fingerprints of samples and checked exactly.
+    by the first of their shingles, in one order for all, and checked exactly.
 
     Rows whose id is null or occurs again are told apart by their fingerprints;
     of those that agree in both, the first by text stays.  Texts are not
