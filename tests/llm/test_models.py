@@ -164,6 +164,18 @@ def test_what_a_site_repeats_is_removed(spark):
         assert got[20 + i].text == f"Copy {sentence(99, 40)}"
 
 
+@pytest.mark.parametrize("share", [1, 2])
+def test_a_long_notice_of_a_site_is_removed(spark, share):
+    # Longer than each paragraph: pages are not told apart by their longest block.
+    notice = f"<div class=c5>{sentence(500, 120)}</div>"
+    rows = [_page(i, f"<p>{sentence(i, 30)}</p>{notice if i % share == 0 else ''}") for i in range(12)]
+    got = _extract(spark, rows)
+    for i in range(12):
+        assert "News of the day" not in got[i].text and "Weather" not in got[i].text
+        assert sentence(i, 30) in got[i].text
+        assert share == 2 or got[i].text == sentence(i, 30)
+
+
 PAGES = [
     ("<p><b>t<br><p>u</p> a<i>b</i>c &amp; d &am &#8364;&nbsp;5", "t u abc & d &am € 5"),
     ("<nav>menu</nav><article><header><h1>T<b>it</b>le</h1></header><div class='share'>s</div>"

@@ -196,7 +196,7 @@ def describe(page: str | None, host: str) -> tuple[list, list, list, int]:
     here, at a place in that style.  Kinds of facts: 0 the node is there, 1 its
     style, 2 a block outside the article element, 3 one inside.  Blocks that
     their markup names as no article are left out at once.  The mark is that of
-    the longest block, so that copies of a page count as one.
+    the set of all blocks, so that copies of a page count as one.
     """
     root, blocks = parse(page or "")
     facts: set[tuple[int, int, int]] = set()
@@ -233,8 +233,8 @@ def describe(page: str | None, host: str) -> tuple[list, list, list, int]:
         value = _hash(text)
         facts.add((owner.key, 3 if inside else 2, value))
         out.append((_hash(owner.key, value), text))
-    longest = max((t for _, t in out), key=len, default="")
-    return [k for k, _ in out], [t for _, t in out], sorted(facts), _hash(longest)
+    mark = _hash(*sorted({_hash(t) for _, t in out}))
+    return [k for k, _ in out], [t for _, t in out], sorted(facts), mark
 
 
 def extract(pages: DataFrame) -> DataFrame:
