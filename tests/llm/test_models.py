@@ -176,6 +176,21 @@ def test_a_long_notice_of_a_site_is_removed(spark, share):
         assert share == 2 or got[i].text == sentence(i, 30)
 
 
+@pytest.mark.parametrize("pages", [10, 40, 400])
+def test_a_share_of_pages_counts_alike_at_every_size(spark, pages):
+    rows = []
+    for i in range(pages):
+        often = f"<h3>{'Kept by six of ten' if i % 10 < 6 else f'Own {i}'}</h3>"
+        mostly = f"<h4>{'Gone by nine of ten' if i % 10 < 9 else f'Else {i}'}</h4>"
+        body = f"<article><p>{sentence(i, 20)} {i}</p>{often}{mostly}</article>"
+        outside = f"<div class=a>{'Half of them' if i % 10 < 5 else f'Side {i}'}</div>"
+        rows.append((i, "http://in.example.org/p", body))
+        rows.append((pages + i, "http://out.example.org/p", f"<p>{sentence(i, 20)} {i}</p>{outside}"))
+    got = _extract(spark, rows)
+    assert "Kept by six" in got[0].text and "Gone by nine" not in got[0].text
+    assert "Half of them" in got[pages].text
+
+
 PAGES = [
     ("<p><b>t<br><p>u</p> a<i>b</i>c &amp; d &am &#8364;&nbsp;5", "t u abc & d &am € 5"),
     ("<nav>menu</nav><article><header><h1>T<b>it</b>le</h1></header><div class='share'>s</div>"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,9 @@ GAMMA = 0.9
 OUTSIDE, INSIDE = 0.2, 0.1
 #: Different pages that must share a block before it can count as the site's.
 PAGES_OUTSIDE, PAGES_INSIDE = 3, 5
+#: Number of pages at which a block's content and a node's styles are measured; with larger
+#: hosts the share of pages at which a block goes stays the same.
+SCALE = 10
 #: Removed blocks that are broadcast; more are joined by site.
 BROADCAST_BLOCKS = 200_000
 
@@ -290,8 +294,8 @@ def extract(pages: DataFrame) -> DataFrame:
         F.sum(-share * F.log(share)).alias("entropy"),
     )
     weight = F.pow(F.lit(GAMMA), F.col("styles"))
-    shown = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("entropy") / F.log("m")))
-    content = 1 - F.log("n") / F.log("m")
+    shown = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("entropy") / math.log(SCALE)))
+    content = F.least(F.lit(1.0), -F.log(F.col("n") / F.col("m")) / math.log(SCALE))
     importance = (1 - weight) * shown + weight * content
     low = seen.filter("kinds >= 2 and n > 1").join(styles, "nodes")
     low = low.filter(
