@@ -13,13 +13,29 @@ import random
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: an unbroken run of token characters that holds a digit.
+#: A candidate: an unbroken run of token characters that holds a digit; see NAMED and PREFIXED for others.
 CANDIDATE = r"[A-Za-z0-9_\-+/=]{12,}"
 #: What the text must hold to be looked at word by word.
 HINT = r"[A-Za-z_\-+/=]*[0-9][A-Za-z0-9_\-+/=]*"
 # Words that name a secret, and words that name harmless values.
 SECRET_WORDS = "token|secret|passw|pwd|api_?key|apikey|access_?key|auth|bearer|credential|private"
 HARMLESS_WORDS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|etag|revision|build|card|iban|order|invoice|isbn|doi"
+_NAME = rf"(?i)(?:{SECRET_WORDS})[\w\-]*[\"'`\]]*"
+#: What stands before a value of any form: a word that names a secret, and = or :.
+NAMED = rf"{_NAME}\s?(?::=|=>|[=:])\s?(?:bearer\s)?[\"'`(]*\s*$"
+#: The same within a word, and the value behind it.
+NAMED_IN_WORD = rf"{_NAME}(?::=|=>|[=:])+(.+)$"
+#: Web tokens, which hold dots, and what begins like a key.
+WEB_TOKEN = r"eyJ[A-Za-z0-9_\-]*(?:\.[A-Za-z0-9_\-]+)+"
+PREFIXED = (
+    rf"(?<![A-Za-z0-9])({WEB_TOKEN}|(?:AKIA|ASIA)[A-Z0-9]+"
+    r"|(?:gh[opsur]_|sk-|sk_live_|xox[abprs]-|glpat-|AIza)[A-Za-z0-9_\-]+)"
+)
+# What stands for a value that is elsewhere or missing.
+FILLER = (
+    r"(?i)^(?:none|null|nil|true|false|undefined|empty|required|optional|string|str|basic|todo|n/a|x+|\*+|\.+|"
+    r"your\W?\w*.*|.*(?:change|replace)_?me.*)$|^[<{$%\[(]|environ|getenv|\w\(|^self\."
+)
 # Common letter groups of words, longest first.
 DICTIONARY = (
     "tion|ment|ness|able|ible|less|ship|with|that|this|from|have|will|user|name|file|data|test|"
@@ -29,7 +45,7 @@ DICTIONARY = (
 FEATURES = [
     "length", "digits", "upper", "lower", "other", "turns", "case_turns", "vowel_turns",
     "dictionary", "hex_only", "digits_only", "path", "quoted", "assigned", "named", "harmless",
-    "prefix",
+    "prefix", "symbols", "direct", "filler",
 ]
 #: Labelled findings that the default training set has.
 FINDINGS = 3000
@@ -77,7 +93,10 @@ def measures(found: Column, before: Column, word: Column, after: Column, path: C
         flag(near.rlike("[=:]\\s*[\"'`]?\\s*$")),
         flag(near.rlike(SECRET_WORDS)),
         flag(near.rlike(HARMLESS_WORDS)),
-        flag(found.rlike("^(AKIA|ASIA|ghp_|gho_|ghs_|sk-|sk_live_|xox[abpr]-|glpat-|AIza|eyJ)")),
+        flag(found.rlike(f"^{PREFIXED}")),
+        _share(found, r"[^A-Za-z0-9_\-+/=]", length),
+        flag(near.rlike(NAMED)),
+        flag(found.rlike(FILLER)),
     ]
 
 
@@ -122,8 +141,69 @@ def labelled_findings(count: int = FINDINGS, seed: int = 5) -> list[Row]:
             return (prose() + prose() + prose()).replace("ó", "o") + run(digit, 1, 4), draw.choice(["", "version = "])
         return run(digit, 4) + "-" + run(digit, 2) + "-" + run(digit, 2) + "T" + run(digit, 6), "at "
 
+    def phrase() -> str:
+        kind = draw.randrange(6)
+        if kind == 0:
+            return draw.choice("-_.").join(prose() for _ in range(draw.randint(2, 4)))
+        if kind == 1:
+            return run(upper + lower + digit + "!@#$%&*.:?", 6, 24)
+        if kind == 2:
+            return prose() + draw.choice(["!", "@", "#", "$", ""]) + run(digit, 1, 4) + draw.choice(["", "!", "?"])
+        if kind == 3:
+            return run(upper + lower, 6, 32)
+        if kind == 4:
+            return run(upper + lower + digit, 6, 19)
+        return prose().capitalize() + draw.choice("!@#$.:") + prose() + run(digit, 0, 3)
+
+    def begun() -> str:
+        letters = upper + lower + digit + "_-"
+        if draw.random() < 0.5:
+            return "eyJ" + ".".join([run(letters, 10, 40), "eyJ" + run(letters, 10, 90), run(letters, 20, 43)])
+        return draw.choice(["AKIA", "ASIA"]) + run(upper, 16)
+
+    def named() -> str:
+        return draw.choice(["token", "secret", "password", "passwd", "pwd", "api_key", "db_password", "access_key", "client_secret", "auth_token"])
+
+    def filler() -> str:
+        return draw.choice([
+            "None", "null", "true", "false", "required", "optional", "undefined", "string", "xxxx", "****", "...",
+            "your_" + prose(), "YOUR_TOKEN_HERE", "changeme", "${" + prose().upper() + "}", "<" + prose() + ">", "{{" + prose() + "}}",
+            'os.environ["' + prose().upper() + '"]', "getenv(" + prose() + ")", "self." + prose(), prose() + "()",
+        ])
+
+    def other(secret: int) -> Row:
+        # Values of any form: known by the naming word or their beginning; and what only looks so.
+        quote = draw.choice(["", '"', "'"])
+        before, word = f"{prose()} {prose()}", ""
+        if secret and draw.random() < 0.25:
+            found = begun()
+            if draw.random() < 0.5:
+                before = f"{prose()} {named()}:"
+            word = quote + found + quote
+        elif secret:
+            found, form, at = phrase(), draw.randrange(3), draw.choice("=:")
+            word = quote + found + quote + draw.choice(["", "", ";", ","])
+            before, word = [
+                (f"{named()} {at}", word), (f"{prose()} {named()}{at}", word), (before, f"{named()}{at}{word}"),
+            ][form]
+        elif draw.random() < 0.25:
+            found = draw.choice(["sk-" + prose(), "ASIAN", "ASIA" + run(upper, 1, 4), "sk-learn", "eyJ." + prose()]).replace("ó", "o")
+            word = found + draw.choice(["", ".", ","])
+        elif draw.random() < 0.6:
+            found, at = filler(), draw.choice("=:")
+            quote = quote if draw.random() < 0.3 and '"' not in found else ""
+            word = quote + found + quote + draw.choice(["", "", ","])
+            before, word = draw.choice([(f"{named()} {at}", word), (f"{prose()} {named()}{at}", word), (before, f"{named()}{at}{word}")])
+        else:
+            found = draw.choice([prose(), prose(), run(digit, 1, 4), "must", "the", "this"])
+            before, word = f"{prose()} {named()}{draw.choice(['', 's'])}:", found + draw.choice(["", "", ",", "."])
+        return Row(found=found, before=before, word=word, after=prose(), path=f"src{draw.randrange(20)}", secret=secret)
+
     rows = []
     for i in range(count):
+        if i % 6 > 3:
+            rows.append(other(i % 2))
+            continue
         if i % 2:
             found = secret()
             if draw.random() < 0.15 and not any(c in found for c in "_-"):
@@ -210,16 +290,33 @@ def findings_in(text: Column, path: Column, trees: list) -> Column:
     ``place`` is the number of the word.  Only words with a candidate are measured.
     """
     words = F.split(F.coalesce(text, F.lit("")), r"\s+")
-    marked = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place")))
-    marked = F.filter(marked, lambda x: x.word.rlike(CANDIDATE) & x.word.rlike("[0-9]"))
+    context = lambda at: F.concat_ws(" ", F.get(words, at - 2), F.get(words, at - 1))
+    marked = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place"), context(i).alias("before")))
+    behind = lambda x: F.concat(x.before, F.lit(" ")).rlike(NAMED)
+    marked = F.filter(
+        marked,
+        lambda x: (x.word.rlike(CANDIDATE) & x.word.rlike("[0-9]"))
+        | x.word.rlike(NAMED_IN_WORD) | x.word.rlike(PREFIXED) | behind(x),
+    )
+
+    def value_in(rest: Column) -> Column:
+        """The value that starts ``rest``: what is in its quotes, or all but the marks around it."""
+        plain = F.regexp_replace(rest, "^[\"'`(]+|[\"'`;,)\\]}]+$", "")
+        quoted = F.regexp_extract(rest, "^[\"'`(]*[\"'`](.+?)[\"'`]", 1)
+        return F.when(quoted != "", quoted).otherwise(plain)
 
     def of_word(x: Column) -> Column:
-        at = x.place
-        context = F.concat_ws(" ", F.get(words, at - 2), F.get(words, at - 1))
+        at, context = x.place, x.before
         after = F.coalesce(F.get(words, at + 1), F.lit(""))
-        runs = F.regexp_extract_all(x.word, F.lit(f"({CANDIDATE})"), F.lit(1))
+        begun = F.regexp_extract_all(x.word, F.lit(PREFIXED), F.lit(1))
+        runs = F.regexp_extract_all(F.regexp_replace(x.word, WEB_TOKEN, " "), F.lit(f"({CANDIDATE})"), F.lit(1))
         runs = F.transform(runs, lambda r: F.regexp_replace(r, "^[A-Za-z_]+=+(?=.{12})", ""))
-        runs = F.filter(F.array_distinct(runs), lambda r: r.rlike("[0-9]"))
+        runs = F.array_union(F.filter(runs, lambda r: r.rlike("[0-9]")), begun)
+        value = value_in(F.when(behind(x), x.word).otherwise(F.regexp_extract(x.word, NAMED_IN_WORD, 1)))
+        bare = F.regexp_replace(value, r"^[^A-Za-z0-9_\-+/=]+|[^A-Za-z0-9_\-+/=]+$", "")
+        # Marks around a run are no part of it.
+        named = F.filter(F.array(value), lambda v: (v != "") & ~F.array_contains(runs, bare))
+        runs = F.array_union(runs, named)
         return F.transform(
             runs,
             lambda r: F.struct(
@@ -244,7 +341,15 @@ def findings_in(text: Column, path: Column, trees: list) -> Column:
         ),
     )
     none = F.array().cast("array<struct<found:string,place:bigint,score:double>>")
-    return F.when(F.coalesce(text.rlike(CANDIDATE) & text.rlike("[0-9]"), F.lit(False)), scored).otherwise(none)
+    looked = (text.rlike(CANDIDATE) & text.rlike("[0-9]")) | text.rlike(_NAME + r"\s*[=:]") | text.rlike(PREFIXED)
+    return F.when(F.coalesce(looked, F.lit(False)), scored).otherwise(none)
+
+
+def _accepted(found: Column, threshold: float) -> Column:
+    """Findings at the threshold, without those that are part of another in the same word."""
+    found = F.filter(found, lambda s: s.score >= threshold)
+    part = lambda a, b: (a.place == b.place) & (a.found != b.found) & F.contains(b.found, a.found)
+    return F.filter(found, lambda a: ~F.exists(found, lambda b: part(a, b)))
 
 
 def _path(docs: DataFrame, path: str) -> Column:
@@ -256,14 +361,14 @@ def scan(docs: DataFrame, trees: list, path: str = "source", threshold: float =
     """(doc_id, place, finding, score): candidates that the forest takes for secrets.
 
     Candidates are runs of 12 or more letters, digits and ``_-+/=`` with a digit
-    among them.  Null and empty texts have none; rows with equal or null
+    among them, what begins like a known key, and any word behind a name of
+    secrets with = or : (up to white space).  Null and empty texts have none; rows with equal or null
     ``doc_id`` are scanned each; ``path`` may be missing or null; other columns
     are ignored; an empty table gives an empty result.  A candidate that occurs
     twice in one word is reported once.
     """
     found = findings_in(F.col("text").cast("string"), _path(docs, path), trees)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(found).alias("s"))
-    rows = rows.filter(F.col("s.score") >= threshold)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_accepted(found, threshold)).alias("s"))
     return rows.select("doc_id", "s.place", F.col("s.found").alias("finding"), "s.score")
 
 
@@ -273,11 +378,16 @@ def redact(docs: DataFrame, trees: list, path: str = "source", threshold: float
     ``n_chars``, if there, is counted anew for texts that changed.
     """
     found = findings_in(F.col("text"), _path(docs, path), trees)
-    secrets = F.transform(F.filter(found, lambda s: s.score >= threshold), lambda s: s.found)
+    secrets = F.transform(_accepted(found, threshold), lambda s: s.found)
     longest = F.array_sort(
         F.array_distinct(secrets), lambda a, b: (F.length(b) - F.length(a)).cast("int")
     )
-    text = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    # A short one may be part of other words.
+    alone = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), s, F.lit(r"\E(?![A-Za-z0-9])"))
+    masked = lambda t, s: F.when(
+        (F.length(s) >= 12) | F.contains(s, F.lit(r"\E")), F.replace(t, s, F.lit(MASK))
+    ).otherwise(F.regexp_replace(t, alone(s), F.lit(MASK)))
+    text = F.aggregate(longest, F.col("text"), masked)
     out = docs.withColumn("_clean", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
