@@ -21,6 +21,8 @@ CROWDED = 64
 COMMON_PART, COMMON_SEEN = 16, 8
 #: Common shingles that are broadcast.
 COMMON_MOST = 500_000
+#: Bits of a set of shingles by which unlike sets are told apart before they are read.
+SKETCH = 1024
 #: Orders in which the texts that share a shingle choose the one that all are held against first.
 _TURNS = np.random.default_rng(29).integers(0, 1 << 63, 8).tolist()
 #: Ids that are broadcast; more are joined.
@@ -96,6 +98,15 @@ def set_key(held: np.ndarray) -> int:
     return xxh64_intdigest(held.tobytes(), 7) - (1 << 63)
 
 
+def sketch(held: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits, each told by whether an odd number of shingles falls on it.
+
+    Two sets differ in as many shingles at least as their sketches in bits.
+    """
+    odd = np.bincount((held % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix(held: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     """The shingles of which two sets at ``similarity`` or more share one at least.
 
@@ -130,29 +141,34 @@ def fingerprints(docs: DataFrame, words: int = 3, similarity: float | None = Non
     """(doc_id, bits): one fingerprint per document, as a signed long.
 
     With ``similarity``, also ``key``, one number for the set of shingles of
-    ``set_words`` words, and ``prefix``, those by which similar sets are found.
+    ``set_words`` words, its ``size`` and ``sketch``, and ``prefix``, those by
+    which similar sets are found.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, set_words)) if similarity else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, keys, drawn = [], [], []
+            marks, keys, sizes, sketches, drawn = [], [], [], [], []
             for value in batch.column(1):  # one text at a time is held twice
                 text = value.as_py()
                 marks.append(fingerprint(text, words))
                 if similarity:
                     held = shingle_set(text, set_words)
                     keys.append(set_key(held))
+                    sizes.append(len(held))
+                    sketches.append(sketch(held))
                     drawn.append(prefix(held, similarity, common.value).view(np.int64))
             bits = np.array(marks, np.uint64).view(np.int64)
             columns, names = [batch.column(0), pa.array(bits)], ["doc_id", "bits"]
             if similarity:
-                columns += [pa.array(keys, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))]
-                names += ["key", "prefix"]
+                longs = pa.list_(pa.int64())
+                columns += [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
+                columns += [pa.array(sketches, longs), pa.array(drawn, longs)]
+                names += ["key", "size", "sketch", "prefix"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    more = ", key long, prefix array<long>" if similarity else ""
+    more = ", key long, size long, sketch array<long>, prefix array<long>" if similarity else ""
     return text_batches(rows).mapInArrow(each, "doc_id long, bits long" + more)
 
 
@@ -275,7 +291,8 @@ def similar_links(docs: DataFrame, marks: DataFrame, edges: DataFrame, similarit
     all pairs that share one and are in different groups yet are compared.
     Equal sets are one text.
     """
-    one = marks.groupBy("key").agg(F.min("bits").alias("node"), F.min("doc_id").alias("_id"))
+    first = [F.first(c).alias(c) for c in ("size", "sketch")]
+    one = marks.groupBy("key").agg(F.min("bits").alias("node"), F.min("doc_id").alias("_id"), *first)
     one = written(one, "one")
     same = marks.join(one, "key").select(F.col("node").alias("a"), F.col("bits").alias("b"))
     edges = edges.union(same.filter("a <> b").distinct())
@@ -283,17 +300,20 @@ def similar_links(docs: DataFrame, marks: DataFrame, edges: DataFrame, similarit
     drawn = marks.select("key", F.explode("prefix").alias("shingle"))
     met = drawn.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     met = written(met.filter("low <> high").select("shingle"), "met")
-    posts = written(drawn.join(met, "shingle").distinct(), "posts")
-    asked = written(posts.select("key").distinct().join(one, "key"), "asked")
-    sets = _shingle_sets(docs, asked, words)
+    posts = written(drawn.join(_small(met), "shingle").distinct(), "posts")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct(), "pairs")
-        left, right = (sets.select(*[F.col(c).alias(c + s) for c in sets.columns]) for s in "ab")
+        # What the sizes and sketches allow; only the sets of these are read.
+        left, right = one.select("key", "size", "sketch").toDF("a", "sizea", "ska"), one.select("key", "size", "sketch").toDF("b", "sizeb", "skb")
+        apart = F.aggregate(F.zip_with("ska", "skb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
         large, small = F.greatest("sizea", "sizeb"), F.least("sizea", "sizeb")
-        size = sets.select("key", "size")
-        fit = pairs.join(size.toDF("a", "sizea"), "a").join(size.toDF("b", "sizeb"), "b")
-        fit = fit.filter(small >= similarity * large - 1e-9).select("a", "b")
+        most = (F.col("sizea") + F.col("sizeb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        fit = pairs.distinct().join(left, "a").join(right, "b")
+        fit = fit.filter((small >= similarity * large - 1e-6) & (apart <= most)).select("a", "b")
+        fit = written(fit, "pairs")
+        asked = fit.select(F.col("a").alias("key")).union(fit.select("b")).distinct()
+        sets = _shingle_sets(docs, written(one.join(asked, "key").select("key", "node", "_id"), "asked"), words)
+        left, right = (sets.select(*[F.col(c).alias(c + s) for c in sets.columns]) for s in "ab")
         shared = F.size(F.array_intersect("helda", "heldb"))
         share = shared / (F.col("sizea") + F.col("sizeb") - shared)
         both = fit.join(left, fit["a"] == left["keya"]).join(right, fit["b"] == right["keyb"])
@@ -308,8 +328,8 @@ def similar_links(docs: DataFrame, marks: DataFrame, edges: DataFrame, similarit
     edges = written(edges.union(alike(stars)), "linked")
 
     roots = written(components(edges), "roots")
-    known = asked.join(roots, asked["node"] == roots["node"], "left")
-    known = known.select("key", F.coalesce("root", asked["node"]).alias("root"))
+    known = one.join(roots, one["node"] == roots["node"], "left")
+    known = known.select("key", F.coalesce("root", one["node"]).alias("root"))
     rooted = written(posts.join(known, "key"), "rooted")
     apart = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     rooted = written(rooted.join(apart.filter("low <> high").select("shingle"), "shingle"), "apart")
@@ -334,7 +354,7 @@ def _shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 
     # An id that occurs again may bring other texts, too: those of keys not asked for go.
     sets = text_batches(texts).mapInArrow(each, "key long, held array<long>")
-    sets = sets.join(asked.select("key", "node"), "key").groupBy("key", "node").agg(F.first("held").alias("held"))
+    sets = sets.join(_small(asked.select("key", "node")), "key").groupBy("key", "node").agg(F.first("held").alias("held"))
     return written(sets.select("key", "node", F.size("held").alias("size"), "held"), "sets")
 
 
