@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilstat.llm import decontam, html_tree, keyed_store, langid, packing, ppm, secret_scan, simhash
-from veilstat.llm import topk, wordpiece
+from veilstat.llm import decontam, exact_dedup, html_tree, keyed_store, langid, oracle, packing, ppm
+from veilstat.llm import prefix_trie, secret_scan, simhash, spelling, topk, wordpiece
 from veilstat.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: No operator of this package can be stated in SQL; each is tested against brute force.
-ORACLE: dict[str, str] = {}
+#: The others cannot be stated in SQL; each is tested against brute force.
+ORACLE: dict[str, str] = {
+    "op11_prefix_trie": oracle.PREFIX_TRIE,
+    "op12_exact_dedup": oracle.EXACT_DUPLICATES,
+    "op13_spelling_variants": oracle.SPELLING_VARIANTS,
+}
 
 
 def query(function):
@@ -71,3 +75,18 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
