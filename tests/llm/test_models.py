@@ -151,6 +151,60 @@ def test_secrets_of_any_form(frame, trees):
         assert clean[i] == f"say {text} and more".replace(found, secret_scan.MASK)
 
 
+def test_votes_are_those_of_the_forest(spark):
+    model = secret_scan.forest(spark)
+    rows = secret_scan.assembled(spark.createDataFrame(secret_scan.labelled_findings(300, seed=31)))
+    own = secret_scan.probability(secret_scan.trees_of(model), F.struct(*secret_scan.FEATURES))
+    for r in model.transform(rows).select("probability", own.alias("own")).collect():
+        assert r.own == pytest.approx(r.probability[1], abs=1e-9)
+
+
+def test_candidates_equal_a_plain_loop(spark):
+    import re
+
+    texts = [t for t, _ in SECRETS] + ["a token : b:c", "x sk-abc eyJhb.c.d", "", "pwd= x", "Bearer:  zzz", "secret 12345678901234 =", None]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(300)
+    texts += [r.text for r in docs.collect()]
+    name = re.compile(secret_scan.NAMED)
+    expected = []
+    for text in texts:
+        words = re.split(r"[ \t\n\x0b\f\r]+", text or "")
+        for i, word in enumerate(words):
+            before = " ".join(words[max(0, i - 2) : i]) + " "
+            if (re.search(secret_scan.CANDIDATE, word) and re.search("[0-9]", word)) or re.search(secret_scan.PREFIXED, word) \
+                    or re.search(secret_scan.NAMED_IN_WORD, word) or name.search(before):
+                expected.append((text, i, word, words[i + 1] if i + 1 < len(words) else None))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = secret_scan.with_candidates(rows, F.col("text"), "marked").select("text", F.explode("marked").alias("m"))
+    assert sorted(((r.text, r.m.place, r.m.word, r.m.after) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_time_follows_the_words(spark, frame, trees):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"word{i % 7}x" for i in range(n)) + f' token = "{"0123456789abcdef" * 2}"'
+        docs, best = frame([(1, text)]), 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            assert secret_scan.scan(docs, trees).count() == 1
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    fixed = seconds(10)
+    assert seconds(80_000) - fixed < 4 * max(seconds(40_000) - fixed, 0.3)
+
+
+def test_clashing_columns_stay(frame, trees):
+    names = ["words", "marked", "found", "clean", "_clean", "path", "s", "place"]
+    docs = frame([(1, 'password = "correct-horse-battery"'), (2, None)])
+    docs = docs.withColumns({n: F.lit(f"own {n}") for n in names})
+    got = sorted(secret_scan.redact(docs, trees).collect(), key=lambda r: r.doc_id)
+    assert got[0].text == 'password = "[SECRET]"' and got[1].text is None
+    assert all(r[n] == f"own {n}" for r in got for n in names)
+    assert secret_scan.scan(docs, trees).count() == 1
+
+
 def test_no_python_in_the_plan(spark, trees):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = secret_scan.redact(docs, trees)._jdf.queryExecution().toString()

@@ -48,6 +48,14 @@ class Scratch:
                 folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that begins with ``stem`` and that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, about to be read by a Python function: batches of a thousand texts.
 

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import json
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from veilstat.llm.common import fresh
+from veilstat.operators.classes import quoted
+
 #: A candidate: an unbroken run of token characters that holds a digit; see NAMED and PREFIXED for others.
 CANDIDATE = r"[A-Za-z0-9_\-+/=]{12,}"
 #: What the text must hold to be looked at word by word.
@@ -31,6 +35,8 @@ PREFIXED = (
     rf"(?<![A-Za-z0-9])({WEB_TOKEN}|(?:AKIA|ASIA)[A-Z0-9]+"
     r"|(?:gh[opsur]_|sk-|sk_live_|xox[abprs]-|glpat-|AIza)[A-Za-z0-9_\-]+)"
 )
+#: What one of ``PREFIXED`` contains.
+BEGINNINGS = ["eyJ", "AKIA", "ASIA", "gh", "sk-", "sk_", "xox", "glpat-", "AIza"]
 # What stands for a value that is elsewhere or missing.
 FILLER = (
     r"(?i)^(?:none|null|nil|true|false|undefined|empty|required|optional|string|str|basic|todo|n/a|x+|\*+|\.+|"
@@ -235,27 +241,36 @@ def labelled_findings(count: int = FINDINGS, seed: int = 5) -> list[Row]:
     return rows
 
 
-def train(spark: SparkSession, findings: DataFrame | None = None) -> list:
-    """The trees of a random forest over labelled findings, as nested tuples.
+def assembled(findings: DataFrame) -> DataFrame:
+    """(label, features) of labelled findings."""
+    from pyspark.ml.feature import VectorAssembler
+
+    columns = measures(*(F.col(c) for c in ("found", "before", "word", "after", "path")))
+    rows = findings.select(
+        F.col("secret").cast("double").alias("label"),
+        *[c.cast("double").alias(n) for n, c in zip(FEATURES, columns)],
+    )
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+
+
+def forest(spark: SparkSession, findings: DataFrame | None = None):
+    """A random forest over labelled findings.
 
     ``findings`` has columns found, before, word, after, path and secret (0 / 1);
     at most a few thousand rows are meant, as every one is read at once.
     """
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
 
     if findings is None:
         text = json.dumps([r.asDict() for r in labelled_findings()])
         kind = "array<struct<found:string,before:string,word:string,after:string,path:string,secret:int>>"
         findings = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
-    columns = measures(*(F.col(c) for c in ("found", "before", "word", "after", "path")))
-    rows = findings.select(
-        F.col("secret").cast("double").alias("label"),
-        *[c.cast("double").alias(n) for n, c in zip(FEATURES, columns)],
-    )
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=3, minInstancesPerNode=3)
-    model = forest.fit(rows.select("label", "features"))
+    learner = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=3, minInstancesPerNode=3)
+    return learner.fit(assembled(findings).select("label", "features"))
+
+
+def trees_of(model) -> list:
+    """The trees of a forest as nested tuples; leaves are shares of secrets."""
 
     def node(java) -> tuple | float:
         if java.getClass().getSimpleName() == "LeafNode":
@@ -267,6 +282,11 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> list:
     return [node(tree._call_java("rootNode")) for tree in model.trees]
 
 
+def train(spark: SparkSession, findings: DataFrame | None = None) -> list:
+    """The trees of a forest over ``findings``, see ``forest``."""
+    return trees_of(forest(spark, findings))
+
+
 def probability(trees: list, features: Column) -> Column:
     """The forest's share of votes for "secret", from a struct of ``FEATURES``."""
 
@@ -284,20 +304,13 @@ def probability(trees: list, features: Column) -> Column:
     return total / len(trees)
 
 
-def findings_in(text: Column, path: Column, trees: list) -> Column:
-    """Array of (found, place, score) of a text's candidates; empty for null texts.
+def candidates_in(x: Column) -> Column:
+    """(found, before, word, after, place) of the candidates of a word; ``x`` has its neighbours too.
 
-    ``place`` is the number of the word.  Only words with a candidate are measured.
+    ``x`` is a struct (word, place, second, first, after): the word, its number,
+    the two words before and the one behind.
     """
-    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
-    context = lambda at: F.concat_ws(" ", F.get(words, at - 2), F.get(words, at - 1))
-    marked = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place"), context(i).alias("before")))
-    behind = lambda x: F.concat(x.before, F.lit(" ")).rlike(NAMED)
-    marked = F.filter(
-        marked,
-        lambda x: (x.word.rlike(CANDIDATE) & x.word.rlike("[0-9]"))
-        | x.word.rlike(NAMED_IN_WORD) | x.word.rlike(PREFIXED) | behind(x),
-    )
+    before = F.concat_ws(" ", x.second, x["first"])
 
     def value_in(rest: Column) -> Column:
         """The value that starts ``rest``: what is in its quotes, or all but the marks around it."""
@@ -305,51 +318,92 @@ def findings_in(text: Column, path: Column, trees: list) -> Column:
         quoted = F.regexp_extract(rest, "^[\"'`(]*[\"'`](.+?)[\"'`]", 1)
         return F.when(quoted != "", quoted).otherwise(plain)
 
-    def of_word(x: Column) -> Column:
-        at, context = x.place, x.before
-        after = F.coalesce(F.get(words, at + 1), F.lit(""))
-        begun = F.regexp_extract_all(x.word, F.lit(PREFIXED), F.lit(1))
-        runs = F.regexp_extract_all(F.regexp_replace(x.word, WEB_TOKEN, " "), F.lit(f"({CANDIDATE})"), F.lit(1))
-        runs = F.transform(runs, lambda r: F.regexp_replace(r, "^[A-Za-z_]+=+(?=.{12})", ""))
-        runs = F.array_union(F.filter(runs, lambda r: r.rlike("[0-9]")), begun)
-        value = value_in(F.when(behind(x), x.word).otherwise(F.regexp_extract(x.word, NAMED_IN_WORD, 1)))
-        bare = F.regexp_replace(value, r"^[^A-Za-z0-9_\-+/=]+|[^A-Za-z0-9_\-+/=]+$", "")
-        # Marks around a run are no part of it.
-        named = F.filter(F.array(value), lambda v: (v != "") & ~F.array_contains(runs, bare))
-        runs = F.array_union(runs, named)
-        return F.transform(
-            runs,
-            lambda r: F.struct(
-                r.alias("found"), context.alias("before"), x.word.alias("word"),
-                after.alias("after"), at.alias("place"),
-            ),
-        )
-
-    candidates = F.flatten(F.transform(marked, of_word))
+    begun = F.regexp_extract_all(x.word, F.lit(PREFIXED), F.lit(1))
+    runs = F.regexp_extract_all(F.regexp_replace(x.word, WEB_TOKEN, " "), F.lit(f"({CANDIDATE})"), F.lit(1))
+    runs = F.transform(runs, lambda r: F.regexp_replace(r, "^[A-Za-z_]+=+(?=.{12})", ""))
+    runs = F.array_union(F.filter(runs, lambda r: r.rlike("[0-9]")), begun)
+    value = value_in(F.when(_behind_name(x), x.word).otherwise(F.regexp_extract(x.word, NAMED_IN_WORD, 1)))
+    bare = F.regexp_replace(value, r"^[^A-Za-z0-9_\-+/=]+|[^A-Za-z0-9_\-+/=]+$", "")
+    # Marks around a run are no part of it.
+    named = F.filter(F.array(value), lambda v: (v != "") & ~F.array_contains(runs, bare))
+    runs = F.array_union(runs, named)
+    return F.transform(
+        runs,
+        lambda r: F.struct(
+            r.alias("found"), before.alias("before"), x.word.alias("word"),
+            F.coalesce(x.after, F.lit("")).alias("after"), x.place.alias("place"),
+        ),
+    )
+
+
+def _behind_name(x: Column) -> Column:
+    """Whether what stands before the word names a secret; most words have no = or : there."""
+    before = F.concat_ws(" ", x.second, x["first"], F.lit(""))
+    return _contains(before, "=", ":") & before.rlike(NAMED)
+
+
+def _contains(text: Column, *parts: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def with_candidates(docs: DataFrame, text: Column, name: str) -> DataFrame:
+    """``docs`` with the words of ``text`` that hold a candidate, next to their neighbours, as ``name``.
+
+    The text is split once, into a column of its own: no lambda goes back to it,
+    so the work is in proportion to the words.
+    """
+    # Most texts and words fail the short test that stands before each pattern.
+    looked = (
+        (text.rlike("[0-9]") & text.rlike(CANDIDATE))
+        | (_contains(text, "=", ":") & text.rlike(_NAME + r"\s*[=:]"))
+        | (_contains(text, *BEGINNINGS) & text.rlike(PREFIXED))
+    )
+    none = F.array().cast("array<string>")
+    held = fresh(docs, "words")
+    docs = docs.withColumn(held, F.when(F.coalesce(looked, F.lit(False)), F.split(text, r"\s+")).otherwise(none))
+    words = F.col(held)
+    nothing = F.lit(None).cast("string")
+    zipped = F.arrays_zip(
+        words, F.sequence(F.lit(0), F.size(words) - 1), F.concat(F.array(nothing, nothing), words),
+        F.concat(F.array(nothing), words), F.slice(words, F.lit(2), F.size(words)),
+    ).cast("array<struct<word:string,place:bigint,second:string,first:string,after:string>>")
+
+    def holds(x: Column) -> Column:
+        run = (F.length(x.word) >= 12) & x.word.rlike("[0-9]") & x.word.rlike(CANDIDATE)
+        named = _contains(x.word, "=", ":") & x.word.rlike(NAMED_IN_WORD)
+        begun = _contains(x.word, *BEGINNINGS) & x.word.rlike(PREFIXED)
+        return run | _behind_name(x) | named | begun
+
+    # What is behind the last word has none.
+    marked = F.filter(zipped, lambda x: x.word.isNotNull() & holds(x))
+    return docs.withColumn(name, marked).drop(held)
+
+
+def with_findings(docs: DataFrame, text: Column, path: Column, trees: list, threshold: float, name: str) -> DataFrame:
+    """``docs`` with an array ``name`` of (found, place, score): candidates at the threshold.
+
+    ``place`` is the number of the word.  A finding that is part of another one
+    in the same word is left out.
+    """
+    held = fresh(docs, "marked")
+    docs = with_candidates(docs, text, held)
 
     def measured(c: Column) -> Column:
         values = measures(c.found, c.before, c.word, c.after, path)
         named = [v.cast("double").alias(n) for n, v in zip(FEATURES, values)]
         return F.struct(c.found.alias("found"), c.place.alias("place"), F.struct(*named).alias("f"))
 
-    scored = F.transform(
-        F.transform(candidates, measured),
-        lambda c: F.struct(
-            c.found.alias("found"),
-            c.place.cast("long").alias("place"),
-            probability(trees, c.f).alias("score"),
-        ),
-    )
-    none = F.array().cast("array<struct<found:string,place:bigint,score:double>>")
-    looked = (text.rlike(CANDIDATE) & text.rlike("[0-9]")) | text.rlike(_NAME + r"\s*[=:]") | text.rlike(PREFIXED)
-    return F.when(F.coalesce(looked, F.lit(False)), scored).otherwise(none)
+    def scored(c: Column) -> Column:
+        return F.struct(c.found.alias("found"), c.place.alias("place"), probability(trees, c.f).alias("score"))
 
+    def of_word(x: Column) -> Column:
+        found = F.transform(F.transform(candidates_in(x), measured), scored)
+        return F.filter(found, lambda s: s.score >= threshold)
 
-def _accepted(found: Column, threshold: float) -> Column:
-    """Findings at the threshold, without those that are part of another in the same word."""
-    found = F.filter(found, lambda s: s.score >= threshold)
-    part = lambda a, b: (a.place == b.place) & (a.found != b.found) & F.contains(b.found, a.found)
-    return F.filter(found, lambda a: ~F.exists(found, lambda b: part(a, b)))
+    part = lambda a, b: (a.found != b.found) & F.contains(b.found, a.found)
+    whole = lambda found: F.filter(found, lambda a: ~F.exists(found, lambda b: part(a, b)))
+    found = F.flatten(F.transform(F.transform(held, of_word), whole))
+    return docs.withColumn(name, found).drop(held)
 
 
 def _path(docs: DataFrame, path: str) -> Column:
@@ -367,8 +421,14 @@ def scan(docs: DataFrame, trees: list, path: str = "source", threshold: float =
     are ignored; an empty table gives an empty result.  A candidate that occurs
     twice in one word is reported once.
     """
-    found = findings_in(F.col("text").cast("string"), _path(docs, path), trees)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_accepted(found, threshold)).alias("s"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        _path(docs, path).alias("path"),
+    )
+    rows = with_findings(rows, F.col("text"), F.col("path"), trees, threshold, "found")
+    # The outer form: else Spark would look for texts with findings first, and scan each of them again.
+    rows = rows.select("doc_id", F.explode_outer("found").alias("s")).filter("s is not null")
     return rows.select("doc_id", "s.place", F.col("s.found").alias("finding"), "s.score")
 
 
@@ -377,20 +437,19 @@ def redact(docs: DataFrame, trees: list, path: str = "source", threshold: float
 
     ``n_chars``, if there, is counted anew for texts that changed.
     """
-    found = findings_in(F.col("text"), _path(docs, path), trees)
-    secrets = F.transform(_accepted(found, threshold), lambda s: s.found)
-    longest = F.array_sort(
-        F.array_distinct(secrets), lambda a, b: (F.length(b) - F.length(a)).cast("int")
-    )
+    held, clean = fresh(docs, "found"), fresh(docs, "clean")
+    out = with_findings(docs, F.col("text"), _path(docs, path), trees, threshold, held)
+    secrets = F.array_distinct(F.transform(held, lambda s: s.found))
+    longest = F.array_sort(secrets, lambda a, b: (F.length(b) - F.length(a)).cast("int"))
     # A short one may be part of other words.
     alone = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), s, F.lit(r"\E(?![A-Za-z0-9])"))
     masked = lambda t, s: F.when(
         (F.length(s) >= 12) | F.contains(s, F.lit(r"\E")), F.replace(t, s, F.lit(MASK))
     ).otherwise(F.regexp_replace(t, alone(s), F.lit(MASK)))
     text = F.aggregate(longest, F.col("text"), masked)
-    out = docs.withColumn("_clean", text)
+    out = out.withColumn(clean, text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        same = F.col("_clean").eqNullSafe(F.col("text"))
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("_clean").cast(kind)))
-    return out.withColumn("text", F.col("_clean")).select(*docs.columns)
+        same = F.col(clean).eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length(clean).cast(kind)))
+    return out.withColumn("text", F.col(clean)).select(*[quoted(c) for c in docs.columns])
