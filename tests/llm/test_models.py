@@ -211,6 +211,12 @@ def test_no_python_in_the_plan(spark, trees):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_label_leaves_clashing_columns(frame):
+    docs = frame([(i, sentence(i, 30)) for i in range(12)]).withColumn("has_letter", F.lit("own"))
+    got = langid.label(docs, 0.0).collect()
+    assert len(got) == 12 and all(r.has_letter == "own" for r in got)
+
+
 # Pages
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstat.llm.common import remainder, text_batches
+from veilstat.llm.common import fresh, remainder, text_batches
 
 HIDDEN = 4
 #: Bytes that the network reads at once; it starts anew at each window.
@@ -278,6 +278,7 @@ def label(docs: DataFrame, least: float, per_language: int = TRAINING_WINDOWS) -
             out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
             yield out.filter(keep)
 
+    letter = letter.alias(fresh(docs, "has_letter"))
     return text_batches(docs.select("*", letter)).mapInArrow(each, docs.schema)
 
 

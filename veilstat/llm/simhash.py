@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -10,21 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from veilstat.llm.common import text_batches, written
+from veilstat.llm.common import Scratch, text_batches, written
 
 #: Segments of a fingerprint; each has 64 / SEGMENTS = 4 bits, so a count fits four bits.
 SEGMENTS = 16
 #: Cells with more fingerprints than this are linked through shared one-bit changes.
 CROWDED = 64
-#: One of so many texts is read to learn common shingles; one seen in so many of them is common.
-COMMON_PART, COMMON_SEEN = 16, 8
-#: Common shingles that are broadcast.
-COMMON_MOST = 500_000
-#: Bits of a set of shingles by which unlike sets are told apart before they are read.
-SKETCH = 1024
-#: Orders in which the texts that share a shingle choose the one that all are held against first.
-_TURNS = np.random.default_rng(29).integers(0, 1 << 63, 8).tolist()
 #: Ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
 STRETCH = 1 << 20
@@ -70,106 +62,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
 
 
-def shingle_hashes(text: str | None, words: int = 5) -> Iterator[np.ndarray]:
-    """Hashes of a text's shingles, a stretch at a time; one at least."""
-    from xxhash import xxh64_intdigest
-
-    held: list[bytes] = []
-    some = False
-    for part in _word_lists((text or "").encode().lower()):
-        held += part
-        if len(held) >= words:
-            found = [b" ".join(held[i : i + words]) for i in range(len(held) - words + 1)]
-            yield np.array([xxh64_intdigest(x, 42) for x in found], np.uint64)
-            held, some = held[len(held) - words + 1 :], True
-    if not some:
-        yield np.array([xxh64_intdigest(b" ".join(held), 42)], np.uint64)
-
-
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """The different hashes of a text's shingles, ascending."""
-    return np.unique(np.concatenate(list(shingle_hashes(text, words))))
-
-
-def set_key(held: np.ndarray) -> int:
-    """One number for a set of shingles, as a signed long."""
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(held.tobytes(), 7) - (1 << 63)
-
-
-def sketch(held: np.ndarray) -> np.ndarray:
-    """``SKETCH`` bits, each told by whether an odd number of shingles falls on it.
-
-    Two sets differ in as many shingles at least as their sketches in bits.
-    """
-    odd = np.bincount((held % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def prefix(held: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The shingles of which two sets at ``similarity`` or more share one at least.
-
-    Such sets share ``similarity`` of either's shingles.  So of the first ones,
-    in an order that is the same for all sets, as many as may be missing and one
-    more hold a shared one.  Any order is right; ``common`` ones come last.
-    """
-    if len(common):
-        at = np.minimum(np.searchsorted(common, held), len(common) - 1)
-        last = common[at] == held
-        held = np.concatenate([held[~last], held[last]])
-    return held[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]
-
-
-def common_shingles(docs: DataFrame, words: int = 5) -> np.ndarray:
-    """Ascending hashes of shingles that many texts hold, as told by a part of the texts."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                held = shingle_set(value.as_py(), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(held)], names=["shingle"])
-
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(COMMON_PART)) == 0)
-    seen = text_batches(texts).mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    seen = seen.filter(F.col("n") >= COMMON_SEEN).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST)
-    return np.sort(seen.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-
-def fingerprints(docs: DataFrame, words: int = 3, similarity: float | None = None, set_words: int = 5) -> DataFrame:
-    """(doc_id, bits): one fingerprint per document, as a signed long.
-
-    With ``similarity``, also ``key``, one number for the set of shingles of
-    ``set_words`` words, its ``size`` and ``sketch``, and ``prefix``, those by
-    which similar sets are found.
-    """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, set_words)) if similarity else None
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, bits): one fingerprint per document, as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, keys, sizes, sketches, drawn = [], [], [], [], []
-            for value in batch.column(1):  # one text at a time is held twice
-                text = value.as_py()
-                marks.append(fingerprint(text, words))
-                if similarity:
-                    held = shingle_set(text, set_words)
-                    keys.append(set_key(held))
-                    sizes.append(len(held))
-                    sketches.append(sketch(held))
-                    drawn.append(prefix(held, similarity, common.value).view(np.int64))
-            bits = np.array(marks, np.uint64).view(np.int64)
-            columns, names = [batch.column(0), pa.array(bits)], ["doc_id", "bits"]
-            if similarity:
-                longs = pa.list_(pa.int64())
-                columns += [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
-                columns += [pa.array(sketches, longs), pa.array(drawn, longs)]
-                names += ["key", "size", "sketch", "prefix"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            # One text at a time is held twice.
+            marks = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    more = ", key long, size long, sketch array<long>, prefix array<long>" if similarity else ""
-    return text_batches(rows).mapInArrow(each, "doc_id long, bits long" + more)
+    return text_batches(rows).mapInArrow(each, "doc_id long, bits long")
 
 
 def _long(value: int) -> Column:
@@ -255,13 +158,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars by turns: each node's neighbours are tied to the least
     of them, which about halves paths.  Every round is written, so a lost
-    executor costs one round at most; only two counts reach the driver.
+    executor costs one round at most, and replaces the one before; only two counts reach the driver.
     """
 
     def outline(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.put(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = outline(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -274,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.select(F.col("m").alias("a"), "b").union(
             joined.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         )
-        edges = written(small.distinct(), "edges")
+        edges = scratch.put(small.distinct(), "edges")
         after = outline(edges)
         if after == before:
             break
@@ -283,91 +187,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots.distinct())
 
 
-def similar_links(docs: DataFrame, marks: DataFrame, edges: DataFrame, similarity: float, words: int) -> DataFrame:
-    """``edges`` and pairs (a, b) of fingerprints that join all texts of that similarity of shingle sets.
-
-    Every two such texts share a shingle of their prefixes.  First the texts that
-    share one are held against one of them, so pairs grow with the texts; then
-    all pairs that share one and are in different groups yet are compared.
-    Equal sets are one text.
-    """
-    first = [F.first(c).alias(c) for c in ("size", "sketch")]
-    one = marks.groupBy("key").agg(F.min("bits").alias("node"), F.min("doc_id").alias("_id"), *first)
-    one = written(one, "one")
-    same = marks.join(one, "key").select(F.col("node").alias("a"), F.col("bits").alias("b"))
-    edges = edges.union(same.filter("a <> b").distinct())
-
-    drawn = marks.select("key", F.explode("prefix").alias("shingle"))
-    met = drawn.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    met = written(met.filter("low <> high").select("shingle"), "met")
-    posts = written(drawn.join(_small(met), "shingle").distinct(), "posts")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        # What the sizes and sketches allow; only the sets of these are read.
-        left, right = one.select("key", "size", "sketch").toDF("a", "sizea", "ska"), one.select("key", "size", "sketch").toDF("b", "sizeb", "skb")
-        apart = F.aggregate(F.zip_with("ska", "skb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-        large, small = F.greatest("sizea", "sizeb"), F.least("sizea", "sizeb")
-        most = (F.col("sizea") + F.col("sizeb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        fit = pairs.distinct().join(left, "a").join(right, "b")
-        fit = fit.filter((small >= similarity * large - 1e-6) & (apart <= most)).select("a", "b")
-        fit = written(fit, "pairs")
-        asked = fit.select(F.col("a").alias("key")).union(fit.select("b")).distinct()
-        sets = _shingle_sets(docs, written(one.join(asked, "key").select("key", "node", "_id"), "asked"), words)
-        left, right = (sets.select(*[F.col(c).alias(c + s) for c in sets.columns]) for s in "ab")
-        shared = F.size(F.array_intersect("helda", "heldb"))
-        share = shared / (F.col("sizea") + F.col("sizeb") - shared)
-        both = fit.join(left, fit["a"] == left["keya"]).join(right, fit["b"] == right["keyb"])
-        both = both.filter(share >= similarity).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
-        return both.filter("a <> b").distinct()
-
-    turn = F.element_at(F.array(*[F.lit(t).cast("long") for t in _TURNS]), (F.pmod("shingle", F.lit(8)) + 1).cast("int"))
-    hubs = posts.groupBy("shingle").agg(F.min(F.col("key").bitwiseXOR(turn)).alias("m"))
-    hubs = hubs.select("shingle", F.col("m").bitwiseXOR(turn).alias("hub"))
-    stars = posts.join(hubs, "shingle").filter("key <> hub")
-    stars = stars.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    edges = written(edges.union(alike(stars)), "linked")
-
-    roots = written(components(edges), "roots")
-    known = one.join(roots, one["node"] == roots["node"], "left")
-    known = known.select("key", F.coalesce("root", one["node"]).alias("root"))
-    rooted = written(posts.join(known, "key"), "rooted")
-    apart = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    rooted = written(rooted.join(apart.filter("low <> high").select("shingle"), "shingle"), "apart")
-    left, right = rooted.toDF("shingle", "a", "roota"), rooted.toDF("shingle", "b", "rootb")
-    crossed = left.join(right, "shingle").filter("a < b and roota <> rootb").select("a", "b")
-    return edges.union(alike(crossed))
-
-
-def _shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """(key, node, size, held): the sets of ``asked`` (key, node, _id), written."""
-    key = F.col("doc_id").cast("long")
-    ids = _small(asked.select("_id").distinct())
-    texts = docs.join(ids, key.eqNullSafe(F.col("_id")), "left_semi").select(F.col("text").cast("string"))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                sets = [shingle_set(t.as_py(), words) for t in batch.column(0).slice(start, 100)]
-                keys = pa.array([set_key(s) for s in sets], pa.int64())
-                held = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, held], names=["key", "held"])
-
-    # An id that occurs again may bring other texts, too: those of keys not asked for go.
-    sets = text_batches(texts).mapInArrow(each, "key long, held array<long>")
-    sets = sets.join(_small(asked.select("key", "node")), "key").groupBy("key", "node").agg(F.first("held").alias("held"))
-    return written(sets.select("key", "node", F.size("held").alias("size"), "held"), "sets")
-
-
-def _groups(docs: DataFrame, words: int, max_bits: int, similarity: float | None = None, set_words: int = 5) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """Written fingerprints of documents, and (bits, root) of each fingerprint."""
-    marks = written(fingerprints(docs, words, similarity, set_words), "marks")
+    marks = written(fingerprints(docs, words), "marks")
     nodes = marks.select("bits").distinct()
-    edges = links(nodes, max_bits)
-    if similarity:
-        edges = similar_links(docs, marks, edges, similarity, set_words)
-    roots = written(components(edges), "roots")
+    roots = components(links(nodes, max_bits))
     nodes = nodes.join(roots, nodes["bits"] == roots["node"], "left")
-    return marks.select("doc_id", "bits"), nodes.select("bits", F.coalesce("root", "bits").alias("root"))
+    return marks, nodes.select("bits", F.coalesce("root", "bits").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -393,19 +219,14 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, similarity: float | None = 0.8) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id.
-
-    Groups are linked by fingerprints and, with ``similarity``, by texts whose
-    sets of five-word shingles are so similar: at that similarity fingerprints
-    of 64 bits differ in more bits than can be searched, so such pairs are found
-    by the first of their shingles, in one order for all, and checked exactly.
+def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one document of each group of ``near_duplicates``: the one with the least id.
 
     Rows whose id is null or occurs again are told apart by their fingerprints;
     of those that agree in both, the first by text stays.  Texts are not
     shuffled while the ids that go, and those that occur again, fit a broadcast.
     """
-    marks, nodes = _groups(docs, words, max_bits, similarity)
+    marks, nodes = _groups(docs, words, max_bits)
     own = marks.groupBy("bits").agg(F.min("doc_id").alias("doc_id")).join(nodes, "bits")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "bits")
     kept = own.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.bits")
@@ -414,18 +235,31 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, similarity: flo
     again = written(counted.filter("n > 1 or doc_id is null").select("doc_id"), "again")
 
     dropped = marks.join(kept, ["doc_id", "bits"], "left_anti").select("doc_id")
-    gone = written(dropped.union(again).distinct(), "gone").withColumnRenamed("doc_id", "_gone")
-    key = F.col("doc_id").cast("long")
-    plain = docs.join(_small(gone), key.eqNullSafe(F.col("_gone")), "left_anti")
-    if not again.limit(1).count():
+    gone = written(dropped.union(again).distinct(), "gone").select(F.col("doc_id").alias("key"))
+    plain = docs.join(_small(gone), docs["doc_id"].cast("long").eqNullSafe(gone["key"]), "left_anti")
+    if again.isEmpty():
         return plain
 
-    several = _small(again.withColumnRenamed("doc_id", "_again"))
-    twice = written(docs.join(several, key.eqNullSafe(F.col("_again")), "left_semi"), "twice")
-    mark = F.udf(lambda t: int(np.array(fingerprint(t, words), np.uint64).view(np.int64)), "long")
-    rows = twice.select(F.struct(*[twice[c] for c in docs.columns]).alias("_row"))
-    rows = rows.withColumn("_bits", mark("_row.text")).withColumn("_id", F.col("_row.doc_id").cast("long"))
-    pairs = kept.select(F.col("doc_id").alias("_kid"), F.col("bits").alias("_kbits"))
-    rows = rows.join(pairs, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_bits") == F.col("_kbits")))
-    rows = rows.groupBy("_id", "_bits").agg(F.min_by("_row", F.struct("_row.text")).alias("_row"))
-    return plain.union(rows.select("_row.*"))
+    several = again.select(F.col("doc_id").alias("key"))
+    twice = docs.join(_small(several), docs["doc_id"].cast("long").eqNullSafe(several["key"]), "left_semi")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    twice = twice.toDF(*names)
+    text, key = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
+    kinds = StructType([*twice.schema.fields, StructField("bits", LongType())])
+    at = docs.columns.index("text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.array([fingerprint(t.as_py(), words) for t in batch.column(at)], np.uint64)
+            yield batch.append_column("bits", pa.array(marks.view(np.int64)))
+
+    rows = text_batches(twice).mapInArrow(mark, kinds)
+    rows = rows.select(F.col(key).cast("long").alias("id"), "bits", F.struct(*names).alias("row"))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["bits"] == kept["bits"]), "left_semi")
+    rows = rows.groupBy("id", "bits").agg(F.min_by("row", F.struct(f"row.{text}")).alias("row"))
+    return plain.union(rows.select("row.*").toDF(*docs.columns))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
