@@ -20,7 +20,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def reference():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -32,11 +31,12 @@ def test_ids_equal_those_of_the_library(reference, odd_rows, monkeypatch):
     draw = random.Random(4)
     letters = "ab'sdtllveremZÉß  \t\n\r\x0b\x85\xa0\x1c_-09²½!?.,жξ中😀"
     texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(800)]
-    texts += ["<|endoftext|> in a text", "don't we'll I'm 'S 'x ''s", "  lead\n\n\n  in  "]
+    texts += ["<|endoftext|> in a text", "a <|endoftext|> b<|endoftext|>", "<|endoftext", "don't we'll I'm 'S 'x ''s", "  lead\n\n\n  in  "]
     texts += [t for _, t in odd_rows]
     encoder = bpe.Encoder(PATH)
     for text in texts:
         assert encoder.encode(text, 0).tolist() == reference(text)
+    assert encoder.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
     monkeypatch.setattr(bpe, "STRETCH", 7)
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     small = bpe.Encoder(PATH)

@@ -2,8 +2,9 @@
 
 The words of a text (the pattern of the byte-level pre-tokenizer) are encoded
 once and remembered, as most are met again.  The pattern below is stated for
-the Latin, Greek and Cyrillic blocks; a text with any other character goes
-through the tokenizer as a whole, which gives the same ids more slowly.
+the Latin, Greek and Cyrillic blocks; a stretch with any other character goes
+through the tokenizer itself, which gives the same ids more slowly, as does a
+whole text that spells one of the tokenizer's added tokens.
 """
 
 from __future__ import annotations
@@ -62,7 +63,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words = _Words(self.tokenizer.model, self.dtype)
         letters, numbers = _ranges("L"), _ranges("N")
@@ -72,6 +72,8 @@ class Encoder:
         )
         self.strange = re.compile(f"[^\x00-{chr(_LAST)}]")
         self.cut = re.compile(f"[^{_SPACES}](?=[{_SPACES}])")
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
 
     def _stretches(self, text: str):
         """Cuts before white space that follows another character: no word spans them."""
@@ -86,9 +88,11 @@ class Encoder:
 
     def encode(self, text: str | None, end: int | None = None) -> np.ndarray:
         """Ids of the text (null: none), then ``end`` if given."""
-        out = []
-        for part in self._stretches(text or ""):
-            if self.strange.search(part):
+        out, text = [], text or ""
+        # A cut may not fall into an added token or beside one.
+        spelled = self.added.search(text) is not None
+        for part in [text] if spelled else self._stretches(text):
+            if spelled or self.strange.search(part):
                 ids = self.tokenizer.encode(part, add_special_tokens=False).ids
                 out.append(np.array(ids, self.dtype).tobytes())
             else:
