@@ -113,9 +113,17 @@ def text_or_html(c: Column) -> Column:
     return F.when(is_html(c), html_to_text_content(c)).otherwise(c)
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case, without closing dots; empty if there is none."""
+    return F.lower(F.regexp_replace(F.regexp_extract(F.trim(url), HOST, 1), r"\.+$", ""))
+
+
 def registered_domain(url: Column, suffixes: Sequence[str] = lx.TWO_LABEL_SUFFIXES) -> Column:
-    """Domain and public suffix of an address, subdomains dropped."""
-    host = F.lower(F.regexp_replace(F.regexp_extract(F.trim(url), HOST, 1), r"\.+$", ""))
+    """Domain and public suffix of an address, subdomains dropped.
+
+    Knows a fixed list of suffixes; ``domains_by_rules`` goes by a table of rules.
+    """
+    host = host_of(url)
     two = F.regexp_extract(host, LAST_TWO_LABELS, 1)
     three = F.regexp_extract(host, LAST_THREE_LABELS, 1)
     return (

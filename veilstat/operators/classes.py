@@ -73,6 +73,39 @@ def qi_cardinality(df: DataFrame, qis: Sequence[str], count_na: bool = True) ->
     return column_profile(df, qis, count_na).select("column", "cardinality")
 
 
+#: Sketches have 2 ** SKETCH_BITS registers; the standard error is 1.04 over the root of that.
+SKETCH_BITS = 12
+
+
+def cardinality_sketches(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bits: int = SKETCH_BITS, count_na: bool = True
+) -> DataFrame:
+    """One row per group of ``by`` with a sketch (binary) of every column, to be stored and merged.
+
+    A sketch has a fixed size, so days or partitions can be added without their
+    rows; null is a value of its own with ``count_na``.
+    """
+
+    def item(c: str) -> Column:
+        text = F.col(quoted(c)).cast("string")
+        return F.coalesce(F.concat(F.lit("="), text), F.lit("")) if count_na else text
+
+    return df.groupBy(*_cols(by)).agg(*[F.hll_sketch_agg(item(c), bits).alias(c) for c in columns])
+
+
+def sketched_cardinality(sketches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, cardinality) estimated over all sketches of a table, each row's merged.
+
+    Sketches of different sizes merge to the smaller one; an empty table gives 0.
+    """
+    merged = sketches.agg(*[F.hll_union_agg(F.col(quoted(c)), True).alias(f"s{i}") for i, c in enumerate(columns)])
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.coalesce(F.hll_sketch_estimate(f"s{i}"), F.lit(0)).alias("cardinality"))
+        for i, c in enumerate(columns)
+    ]
+    return merged.select(F.inline(F.array(*pairs)))
+
+
 def class_count(df: DataFrame, qis: Sequence[str]) -> DataFrame:
     """One row, ``n_classes``; 1 when no QI is left."""
     if not qis:

@@ -1,10 +1,13 @@
 """Exact quantiles of columns of any size.
 
 Spark's exact percentile keeps every distinct value of a column in one task.
-Here the interval that holds a wanted rank is narrowed by histograms of a fixed
-number of bins until it holds one distinct value or two rows. Each round is one
-aggregate for all columns and ranks; the driver sees bin counts only. A round
-narrows by ``BINS``, so a trillion spread-out values take about four.
+Here the interval that holds a wanted rank is narrowed by histograms of a bounded
+number of bins until it holds one distinct value or two rows, like a radix
+selection over the parts of a double: the first round goes by sign and exponent,
+later ones by the next eleven binary digits of what is left. Each round is one
+aggregate for all columns and ranks; the driver sees bin counts only. A double
+has 52 digits beside its exponent, so ``MOST_ROUNDS`` suffice for any
+distribution, heavy tails and tiny values included.
 """
 
 from __future__ import annotations
@@ -20,7 +23,11 @@ from pyspark.sql import functions as F
 from veilstat.spec import quoted
 
 BINS = 2048
+#: One round by exponent and five by digits; a value on the border of two exponents may cost one.
+MOST_ROUNDS = 7
 LARGEST = sys.float_info.max
+#: Added to an exponent, which is -1074 at least, to make it positive.
+LEAST_EXPONENT = 1100
 
 
 @dataclass
@@ -88,14 +95,23 @@ def _resolve(values: DataFrame, searches: list[_Search]) -> None:
             _narrow(s, bins[intervals.index((s.column, s.low, s.high))])
 
 
+def _one_scale(low: float, high: float) -> bool:
+    """Whether the interval spans about one exponent, so that its digits can be told apart."""
+    return 0 < low and high / 4 <= low or high < 0 and low / 4 >= high
+
+
 def _histogram(values: DataFrame, intervals: list[tuple[int, float, float]]) -> dict[int, list]:
     """Per interval: bins as (rows, least value, greatest value), in order."""
     entries = []
     for k, (i, low, high) in enumerate(intervals):
         x = F.col(f"c{i}")
-        # Halved before subtracting, so that the widest interval does not overflow.
-        share = (x / 2 - low / 2) / F.lit(high / 2 - low / 2)
-        bin_no = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+        if _one_scale(low, high):
+            share = (x - low) / F.lit(high - low)
+            bin_no = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+        else:
+            # Zero lies between the least negative exponent and the least positive one.
+            exponent = F.floor(F.log2(F.abs(x))) + F.lit(LEAST_EXPONENT)
+            bin_no = F.when(x == 0, 0).otherwise(exponent * F.signum(x)).cast("int")
         inside = x.between(low, high)
         entries.append(F.when(inside, F.struct(F.lit(k).alias("k"), bin_no.alias("bin"), x.alias("x"))))
     rows = values.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")

@@ -10,6 +10,8 @@ from veilstat.functions import text as tx
 from veilstat.operators.features import median_impute, zscore
 from veilstat.operators.lexical import lookup, word_aggregates, word_counts, zipf_aggregates
 from veilstat.session import cut_lineage
+from veilstat.sources.corpus import BROADCAST_BYTES
+from veilstat.sources.snapshots import first_last_per_period
 from veilstat.spec import quoted
 
 # --- fixed values: the metrics record, in order --------------------------------
@@ -108,6 +110,33 @@ def history_trend(history: DataFrame, *measures: str) -> DataFrame:
     return history.select("timestamp", F.year(_date("timestamp")).alias("year"), *measures).orderBy("timestamp")
 
 
+def ends_of_periods(snapshots: DataFrame, period_chars: int = 4) -> DataFrame:
+    """Snapshots of the first and the last date that a site has in a period.
+
+    The period is the timestamp's beginning: 4 characters for years, 6 for
+    months. The dates are counted without the texts; a text is shuffled only if
+    the dates wanted do not fit a broadcast.
+    """
+    site = F.regexp_replace("name", r"_[0-9]{8}$", "")
+    placed = snapshots.withColumn("_site", site).withColumn("_period", F.substring("timestamp", 1, period_chars))
+    ends = first_last_per_period(placed.select("_site", "_period", "timestamp"), "_site", "_period")
+    wanted = cut_lineage(ends.select("_site", "timestamp").distinct())
+    size = wanted.agg(F.sum(F.octet_length("_site") + 48)).first()[0] or 0
+    picked = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
+    return placed.join(picked, ["_site", "timestamp"], "left_semi").drop("_site", "_period")
+
+
+def trend_of_texts(
+    snapshots: DataFrame, words: DataFrame, *measures: str, period_chars: int = 4
+) -> DataFrame:
+    """Trend of measures over the first and last snapshots of each site and period.
+
+    Only the snapshots at the ends of a period are measured, however many it has.
+    """
+    measured = history_metrics(ends_of_periods(snapshots, period_chars), words)
+    return history_trend(measured, "name", "source_file", *measures)
+
+
 def snapshot_label(timestamp: str = "timestamp", date: str | None = None):
     """``yyyy-MM-dd`` of a ``yyyyMMdd`` string, else the date column."""
     label = F.date_format(_date(timestamp), "yyyy-MM-dd")

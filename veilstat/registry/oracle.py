@@ -41,6 +41,11 @@ ORACLE["k_level_per_column"] = _qi(
     )
 )
 ORACLE["class_sizes"] = _qi(f"SELECT {QIS}, n FROM sizes", SIZES)
+ORACLE["qi_cardinality_sketched"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS cardinality, 1 AS within_bound FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+)
+ORACLE["records_round_trip"] = _qi(f"SELECT CAST(user_id AS VARCHAR) AS user_id, course_id, {QIS} FROM qi")
 ORACLE["class_count"] = _qi("SELECT count(*) AS n_classes FROM sizes", SIZES)
 ORACLE["rare_classes"] = _qi("SELECT * FROM sizes WHERE n = 1", SIZES)
 ORACLE["qi_cardinality"] = _qi(
@@ -347,6 +352,17 @@ ORACLE["html_sniff"] = f"""
 ORACLE["html_to_text_all"] = f"SELECT page_id, {_text('html', lx.HTML_SKIP_ALL)} AS text FROM pages"
 ORACLE["html_to_text_content"] = f"SELECT page_id, {_content('html')} AS text FROM pages"
 ORACLE["registered_domain"] = f"SELECT page_id, {DOMAIN} AS domain FROM pages"
+ORACLE["registered_domain_rules"] = f"""WITH rules AS ({v.SUFFIX_RULES.format(nation="nation")}),
+  u AS (SELECT {v.ADDRESSES} FROM customer),
+  h AS (SELECT c_custkey, string_split(regexp_extract(url, 'http://([^/]+)', 1), '.') AS p FROM u),
+  e AS (SELECT c_custkey, p, unnest(range(1, len(p) + 1)) AS k FROM h),
+  s AS (SELECT c_custkey, p, k, array_to_string(p[-k:], '.') AS suffix,
+    CASE WHEN k > 1 THEN '*.' || array_to_string(p[-(k - 1):], '.') END AS wild FROM e),
+  m AS (SELECT c_custkey, any_value(p) AS p, coalesce(
+      max(CASE WHEN '!' || suffix IN (SELECT value FROM rules) THEN k - 1 END),
+      max(CASE WHEN suffix IN (SELECT value FROM rules) OR wild IN (SELECT value FROM rules) THEN k END), 1) AS n
+    FROM s GROUP BY c_custkey)
+  SELECT c_custkey, array_to_string(p[-(n + 1):], '.') AS domain FROM m"""
 ORACLE["url_encode"] = "SELECT page_id, replace(url_encode(url || ' ~*'), '%20', '+') AS encoded FROM pages"
 ORACLE["page_to_document"] = f"SELECT page_id, {DOMAIN} AS name, {_content('html')} AS text FROM pages"
 
@@ -371,6 +387,14 @@ _MONTHS = """m AS (SELECT strftime(date_trunc('month', o_orderdate), '%Y%m%d') A
 ORACLE["history_trend"] = f"WITH {_MONTHS} SELECT timestamp, year, n_words, {_r('grade')} AS flesch_kincaid_grade FROM m"
 
 
+ORACLE["history_trend_texts"] = f"""
+  WITH months AS (SELECT source, {_DAY} AS day, date_trunc('month', {_DAY}) AS month FROM documents),
+  ends AS (SELECT source, min(day) AS lo, max(day) AS hi FROM months GROUP BY source, month),
+  m AS ({ORACLE["history_metrics"]})
+  SELECT name, source_file, timestamp, year, n_words, flesch_kincaid_grade, entropy FROM m
+  WHERE name IN (SELECT source || '_' || strftime(d, '%Y%m%d') FROM (SELECT source, unnest([lo, hi]) AS d FROM ends))"""
+
+
 def _z(c: str, alias: str, source: str) -> str:
     stats = f"(SELECT {{}}({c}) FROM {source})"
     score = f"({c} - {stats.format('avg')}) / {stats.format('stddev_pop')}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from veilstat.functions import generalize as gz
 from veilstat.functions import pages as pg
 from veilstat.functions import text as tx
 from veilstat.operators import classes as cl
+from veilstat.operators import domains as dm
 from veilstat.operators import features as ft
 from veilstat.operators import learn as ln
 from veilstat.operators import lexical as lex
@@ -21,8 +23,9 @@ from veilstat.operators import textsim as ts
 from veilstat.plans import corpus as cp
 from veilstat.plans import deid
 from veilstat.registry import views as v
-from veilstat.session import cut_lineage
+from veilstat.session import cut_lineage, ensure_checkpoint_dir
 from veilstat.sources import corpus as sc
+from veilstat.sources import records as rc
 from veilstat.sources import snapshots as sn
 from veilstat.spec import QISpec
 
@@ -65,6 +68,30 @@ def class_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return cl.class_sizes(v.qi(spark, sf), v.QIS)
 
 
+@query
+def qi_cardinality_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact counts, and whether the merged sketches of all return flags and states are within four standard errors."""
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]
+    lines = v.table(spark, sf, "lineitem")
+    stored = cut_lineage(cl.cardinality_sketches(lines, columns, ["l_returnflag", "l_linestatus"]))
+    guessed = cl.sketched_cardinality(stored, columns).withColumnRenamed("cardinality", "guess")
+    both = cl.qi_cardinality(lines, columns).join(F.broadcast(guessed), "column")
+    error = 4 * 1.04 / 2 ** (cl.SKETCH_BITS / 2)
+    near = F.abs(F.col("guess") - F.col("cardinality")) <= F.col("cardinality") * error
+    return both.select("column", "cardinality", near.cast("int").alias("within_bound"))
+
+
+@query
+def records_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written as CSV files with two orders of columns, and read by their headers."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    columns = [*v.IDS, *v.QIS]
+    records = v.qi(spark, sf).select(*columns)
+    rc.write_csv(records.filter("user_id % 2 = 0"), f"{folder}/even")
+    rc.write_csv(records.filter("user_id % 2 = 1").select(*columns[::-1]), f"{folder}/odd")
+    return rc.read_records_by_header(spark, folder, columns)
+
+
 @query
 def class_count(spark: SparkSession, sf: str) -> DataFrame:
     return cl.class_count(v.qi(spark, sf), v.QIS)
@@ -330,6 +357,12 @@ def registered_domain(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf, domain=pg.registered_domain(F.col("url")))
 
 
+@query
+def registered_domain_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rules = dm.suffix_rules(v.suffix_rules(spark, sf))
+    return dm.domains_by_rules(v.addresses(spark, sf), "url", rules).select("c_custkey", "domain")
+
+
 @query
 def url_encode(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf, encoded=pg.quote_plus(F.concat("url", F.lit(" ~*"))))
@@ -369,6 +402,15 @@ def history_trend(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "flesch_kincaid_grade")
 
 
+@query
+def history_trend_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last day of a source in each month, measured from the texts."""
+    measures = ["n_words", "flesch_kincaid_grade", "entropy"]
+    words = _words(_lexicon(spark, sf))
+    out = cp.trend_of_texts(v.dated_documents(spark, sf), words, *measures, period_chars=6)
+    return rounded(out, *measures[1:])
+
+
 @query
 def history_zscore(spark: SparkSession, sf: str) -> DataFrame:
     measures = ["n_words", "flesch_kincaid_grade"]

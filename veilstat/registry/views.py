@@ -57,6 +57,20 @@ DATED = """
 """
 
 
+# Suffix rules of the three kinds, one country a nation, and addresses of customers under them.
+SUFFIX_RULES = """
+  SELECT concat('co.nation-', n_nationkey) AS value FROM {nation} WHERE n_nationkey % 3 = 0
+  UNION ALL SELECT concat('*.nation-', n_nationkey) FROM {nation} WHERE n_nationkey % 3 <> 0
+  UNION ALL SELECT concat('!www.nation-', n_nationkey) FROM {nation} WHERE n_nationkey % 3 = 2
+"""
+ADDRESSES = """
+  c_custkey, concat('http://',
+    CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'www.' WHEN 2 THEN 'a.www.' WHEN 3 THEN 'co.' WHEN 4 THEN 'shop.b.co.'
+      WHEN 5 THEN concat('c', c_custkey % 50, '.') ELSE concat('x.y', c_custkey % 50, '.z.') END,
+    'nation-', c_nationkey, '/page') AS url
+"""
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -88,10 +102,18 @@ def index_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 def dated_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as snapshots: a source's document of every day, days made from the ids."""
-    docs = documents(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "source", clean_text(F.col("text")).alias("text"))
     return _select(docs, DATED)
 
 
+def suffix_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(SUFFIX_RULES.format(nation="{nation}"), nation=table(spark, sf, "nation"))
+
+
+def addresses(spark: SparkSession, sf: str) -> DataFrame:
+    return _select(table(spark, sf, "customer"), ADDRESSES)
+
+
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """One row per month: orders, mean price, mean key."""
     rows = _select(table(spark, sf, "orders"), HISTORY)
