@@ -54,9 +54,13 @@ def cluster(
     label: str = "cluster_label",
     tol: float = 1e-6,
     max_iter: int = 100,
+    key: str | None = None,
 ) -> DataFrame:
     """Points with the labels of the k-means run of lowest cost.
 
+    With a ``key`` the clusters are numbered from 0 by their members of least
+    key, so that equal partitions have equal labels whatever run they are from.
+
     A run ends when no centre moves further than ``tol``. One that has not ended
     after ``max_iter`` rounds is run again with twice as many, so only settled
     runs are compared.
@@ -73,7 +77,12 @@ def cluster(
             rounds *= 2
 
     best = min(map(settled, range(restarts)), key=lambda m: m.summary.trainingCost)
-    return best.transform(ready).drop("_x")
+    labelled = best.transform(ready).drop("_x")
+    if key is None:
+        return labelled
+    first = labelled.groupBy(label).agg(F.min(key).alias("first")).orderBy("first").collect()
+    numbers = F.create_map(*[F.lit(x) for i, row in enumerate(first) for x in (row[0], i)])
+    return labelled.withColumn(label, numbers[F.col(label)]) if first else labelled
 
 
 def silhouette(points: DataFrame, vector: str, label: str) -> float | None:

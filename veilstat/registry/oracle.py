@@ -99,8 +99,12 @@ def _greedy() -> str:
 
 
 ORACLE["greedy_column_suppression"] = _greedy()
-# The columns left at this scale, see the log of the greedy query.
-ORACLE["column_suppression_project"] = _qi("SELECT user_id, course_id, city, LoE, YoB, gender, nforum_posts FROM qi")
+_VALUES = " UNION ALL ".join(f"SELECT user_id, course_id, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM qi" for c in v.QIS)
+# The columns that the walk leaves, or all if the records are alike enough from the start.
+ORACLE["column_suppression_project"] = f"""WITH {VIEWS}, walked AS ({ORACLE["greedy_column_suppression"]}),
+  ended AS (SELECT k, remaining FROM walked ORDER BY step DESC LIMIT 1),
+  cells AS ({_VALUES})
+  SELECT * FROM cells WHERE coalesce((SELECT k >= 5 AND list_contains(string_split(remaining, ','), "column") FROM ended), true)"""
 _POSTS = "TRY_CAST(nforum_posts AS DOUBLE)"
 ORACLE["describe_column"] = _qi(
     f"""SELECT count(x) AS "count", {_r("avg(x)")} AS mean, {_r("stddev_samp(x)")} AS std, {_r("min(x)")} AS min,
@@ -308,6 +312,12 @@ ORACLE["history_metrics"] = _docs(
         FROM {_METRIC_TABLES} JOIN (SELECT doc_id, source FROM documents) s USING (doc_id)""",
     *_METRIC_CTES,
 )
+_OTHER = r"doc_id % 2 = 1 AND NOT regexp_matches(text, '[^\x{0}-\x{ff}]')"
+_FILES = rf"""files AS (SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN {_OTHER}
+  THEN regexp_replace(text, '[\x{{80}}-\x{{ff}}]', '', 'g') ELSE coalesce(text, '') END AS text FROM documents)"""
+ORACLE["text_files_round_trip"] = f"WITH {_FILES} SELECT name, text FROM files"
+ORACLE["clean_text_files"] = f"""WITH {_FILES} SELECT name, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z]+'),
+  lambda x: length(x) > 2 AND x NOT IN ({_list(lx.STOPWORDS)})), ' ') AS text FROM files"""
 ORACLE["corpus_upsert"] = """
   WITH u AS (SELECT source || '/' || doc_id % 50 AS name, text, 0 AS s FROM documents
              UNION ALL SELECT 'src1/' || item_id, text, 1 FROM benchmark)
@@ -447,19 +457,46 @@ def _principal(k: int, matrix: str) -> tuple[str, ...]:
     )
 
 
-ORACLE["pca2"] = f"""WITH RECURSIVE e AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i,
-    unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+def _pca(key: str, cells: str) -> str:
+    """Tables up to ``pca`` (key, pc1, pc2) of the cells (key, i, x)."""
+    return f"""e AS ({cells}),
   moments AS (SELECT i, avg(x) AS a, stddev_pop(x) AS sd FROM e GROUP BY i),
-  z AS (SELECT vec_id, i, CASE WHEN sd = 0 THEN 0.0 ELSE (x - a) / sd END AS z FROM e JOIN moments USING (i)),
-  cells AS (SELECT a.i, b.i AS j, avg(a.z * b.z) AS c FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i),
+  z AS (SELECT {key}, i, CASE WHEN sd = 0 THEN 0.0 ELSE (x - a) / sd END AS z FROM e JOIN moments USING (i)),
+  cells AS (SELECT a.i, b.i AS j, avg(a.z * b.z) AS c FROM z a JOIN z b USING ({key}) GROUP BY a.i, b.i),
   m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cells GROUP BY i)),
   {", ".join(_principal(1, "m1"))},
   m2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - v[i] * v[j] *
       list_dot_product(v, list_transform(m, lambda q: list_dot_product(q, v))))) AS m FROM m1, n1),
   {", ".join(_principal(2, "m2"))},
-  points AS (SELECT vec_id, list(z ORDER BY i) AS z FROM z GROUP BY vec_id)
-  SELECT vec_id, {_r("list_dot_product(z, n1.v)")} AS pc1, {_r("list_dot_product(z, n2.v)")} AS pc2
-  FROM points, n1, n2"""
+  points AS (SELECT {key}, list(z ORDER BY i) AS z FROM z GROUP BY {key}),
+  pca AS (SELECT {key}, {_r("list_dot_product(z, n1.v)")} AS pc1, {_r("list_dot_product(z, n2.v)")} AS pc2
+    FROM points, n1, n2)"""
+
+
+def _kmeans(key: str, starts: int = 40, rounds: int = 100, k: int = 4) -> str:
+    """Tables up to ``clusters`` (key, pc1, pc2, cluster_label): of many starts the settled one of least
+    cost, its clusters numbered by their least key."""
+    away = "list_transform(cs, lambda c: (c[1] - pc1) * (c[1] - pc1) + (c[2] - pc2) * (c[2] - pc2))"
+    return f"""runs(step, s, cs) AS (
+    SELECT 0, s, list([pc1, pc2] ORDER BY {key}) FROM (SELECT s, {key}, pc1, pc2,
+        row_number() OVER (PARTITION BY s ORDER BY md5({key} || '/' || s)) AS r FROM pca, range({starts}) t(s))
+      WHERE r <= {k} GROUP BY s
+    UNION ALL
+    SELECT step + 1, s, list([x, y] ORDER BY c) FROM (SELECT step, s, c, avg(pc1) AS x, avg(pc2) AS y FROM (
+        SELECT step, s, pc1, pc2, list_position(d, list_min(d)) AS c FROM (
+          SELECT step, s, pc1, pc2, {away} AS d FROM runs, pca WHERE step < {rounds})) GROUP BY step, s, c)
+      GROUP BY step, s),
+  costs AS (SELECT s, any_value(cs) AS cs, sum(list_min({away})) AS cost FROM runs, pca WHERE step = {rounds} GROUP BY s),
+  best AS (SELECT cs FROM costs ORDER BY cost, s LIMIT 1),
+  dealt AS (SELECT {key}, pc1, pc2, list_position({away}, list_min({away})) AS c FROM pca, best),
+  clusters AS (SELECT {key}, pc1, pc2, CAST(dense_rank() OVER (ORDER BY least) - 1 AS INT) AS cluster_label
+    FROM (SELECT *, min({key}) OVER (PARTITION BY c) AS least FROM dealt))"""
+
+
+_EMBEDDED = """SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i,
+    unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings"""
+ORACLE["pca2"] = f"WITH RECURSIVE {_pca('vec_id', _EMBEDDED)} SELECT vec_id, pc1, pc2 FROM pca"
+ORACLE["kmeans4"] = f"WITH RECURSIVE {_pca('vec_id', _EMBEDDED)}, {_kmeans('vec_id')} SELECT vec_id, cluster_label FROM clusters"
 # A settled result leaves no point nearer to another cluster's mean.
 ORACLE["kmeans4_settled"] = "SELECT count(*) AS n_points, 4 AS n_clusters, 0 AS misplaced FROM embeddings"
 
@@ -500,6 +537,26 @@ ORACLE["silhouette"] = f"""WITH {PAIRS},
   per AS (SELECT a, max(CASE WHEN la = lb THEN s / n END) AS own, min(CASE WHEN la <> lb THEN s / n END) AS other
     FROM sums GROUP BY a)
   SELECT {_r("avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END)")} AS silhouette FROM per"""
+_PLAIN = _MEASURES | {"n_words": "n_words", "n_sents": "n_sents"}
+_FEATURE_CELLS = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {n} AS x FROM g" for i, n in enumerate(lx.FEATURES, 1))
+ORACLE["document_similarity"] = _docs(
+    """SELECT c.doc_id, cluster_label, s.b AS nearest_same_type, round(s.d, 4) AS dist_same_type, o.b AS nearest_overall,
+         round(o.d, 4) AS dist_overall, CAST(c.doc_id IN (SELECT doc_id FROM proto) AS INT) AS is_prototype
+       FROM clusters c LEFT JOIN same1 s ON s.a = c.doc_id LEFT JOIN any1 o ON o.a = c.doc_id""",
+    *_METRIC_CTES,
+    "f AS (SELECT doc_id, " + ", ".join(f"CAST({_PLAIN[n]} AS DOUBLE) AS {n}" for n in lx.FEATURES) + f" FROM {_METRIC_TABLES})",
+    "g AS (SELECT doc_id, " + ", ".join(f"coalesce({n}, (SELECT median({n}) FROM f)) AS {n}" for n in lx.FEATURES) + " FROM f)",
+    _pca("doc_id", _FEATURE_CELLS),
+    _kmeans("doc_id"),
+    """pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.cluster_label = b.cluster_label AS same,
+         sqrt((a.pc1 - b.pc1) * (a.pc1 - b.pc1) + (a.pc2 - b.pc2) * (a.pc2 - b.pc2)) AS d
+         FROM clusters a JOIN clusters b ON a.doc_id <> b.doc_id),
+       any1 AS (SELECT a, b, d FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1),
+       same1 AS (SELECT a, b, d FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1),
+       means AS (SELECT cluster_label, avg(pc1) AS mx, avg(pc2) AS my FROM clusters GROUP BY cluster_label),
+       proto AS (SELECT doc_id FROM clusters JOIN means USING (cluster_label) QUALIFY row_number() OVER (PARTITION BY cluster_label
+         ORDER BY (pc1 - mx) * (pc1 - mx) + (pc2 - my) * (pc2 - my), doc_id) = 1)""",
+).replace("WITH", "WITH RECURSIVE", 1)
 ORACLE["text_top2_neighbors"] = _docs(
     """SELECT d.doc_id, max(b) FILTER (rn = 1) AS neighbor_1, round(1 - max(far) FILTER (rn = 1), 4) AS sim_1,
          max(b) FILTER (rn = 2) AS neighbor_2, round(1 - max(far) FILTER (rn = 2), 4) AS sim_2

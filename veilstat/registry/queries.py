@@ -22,6 +22,7 @@ from veilstat.operators import suppress as sp
 from veilstat.operators import textsim as ts
 from veilstat.plans import corpus as cp
 from veilstat.plans import deid
+from veilstat.plans import similarity as sim
 from veilstat.registry import views as v
 from veilstat.session import cut_lineage, ensure_checkpoint_dir
 from veilstat.sources import corpus as sc
@@ -135,9 +136,12 @@ def greedy_column_suppression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def column_suppression_project(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns that are left depend on the records, so each value is a row."""
     df = v.qi(spark, sf)
     kept = sp.column_suppression(df, QISpec.of(df))
-    return df.limit(0) if kept is None else kept
+    kept = df.limit(0) if kept is None else kept
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in kept.columns if c not in v.IDS]
+    return kept.select(*v.IDS, F.inline(F.array(*cells)))
 
 
 @query
@@ -342,6 +346,27 @@ def html_sniff(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _text_folder(spark: SparkSession, sf: str) -> str:
+    """Documents as text files; of odd ones all but ASCII is written in another encoding where it can be."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    narrow = (F.col("doc_id") % 2 == 1) & ~F.col("text").rlike(r"[^\u0000-\u00ff]")
+    other = F.encode("text", "ISO-8859-1").cast("string")
+    docs = v.table(spark, sf, "documents")
+    sc.write_texts(docs.select("doc_id", F.when(narrow, other).otherwise(F.col("text")).alias("text")), folder, "doc_id")
+    return folder
+
+
+@query
+def text_files_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.read_texts(spark, _text_folder(spark, sf))
+
+
+@query
+def clean_text_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _text_folder(spark, sf)
+    return sc.clean_text_files(spark, folder, f"{folder}-clean")
+
+
 @query
 def html_to_text_all(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf, text=pg.html_to_text_all(F.col("html")))
@@ -526,7 +551,16 @@ def pca2(spark: SparkSession, sf: str) -> DataFrame:
 def kmeans4(spark: SparkSession, sf: str) -> DataFrame:
     wide, names = _vectors(spark, sf)
     points = ln.project(ft.zscore(wide, names), "vec_id", names)
-    return ln.cluster(points, "point").select("vec_id", "cluster_label")
+    return ln.cluster(points, "point", key="vec_id").select("vec_id", "cluster_label")
+
+
+@query
+def document_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """From texts to clusters: metrics, projection, k-means, neighbours and prototypes."""
+    metrics = cp.corpus_metrics(v.documents(spark, sf), "doc_id", _words(_lexicon(spark, sf)))
+    neighbors, prototypes = sim.similarity_reports(metrics, "doc_id", digits=6)
+    chosen = prototypes.select(F.col("prototype").alias("doc_id"), F.lit(1).alias("is_prototype"))
+    return neighbors.join(F.broadcast(chosen), "doc_id", "left").fillna(0, ["is_prototype"])
 
 
 @query

@@ -111,3 +111,29 @@ def clean_folder(
     named = _latest_files(spark, folder, TXT_FILES, True, F.col("file"))
     clean_corpus(named, "name", lexicon=lexicon).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
+
+
+def write_texts(texts: DataFrame, folder: str, name: str = "name", text: str = "text") -> None:
+    """One text file per name, in a folder of its own that carries the name.
+
+    Making files takes longer than moving small texts, so rows are dealt out by
+    name to all tasks; rows of one name share a file. A null text is an empty file.
+    """
+    rows = texts.select(F.col(name).cast("string").alias("name"), F.col(text).cast("string").alias("value"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(tasks, "name").write.mode("overwrite").partitionBy("name").text(folder)
+
+
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, text) of a folder made by ``write_texts``; bytes which are not UTF-8 are dropped."""
+    raw = spark.read.schema("value string, name string").text(folder, wholetext=True)
+    whole = raw.select("name", valid_utf8(F.col("value")).alias("value"))
+    # The sink ends a row with a line feed; only in valid text are characters counted right.
+    return whole.select("name", F.expr("left(value, length(value) - 1)").alias("text"))
+
+
+def clean_text_files(spark: SparkSession, folder: str, out: str, lexicon: DataFrame | None = None) -> DataFrame:
+    """(name, text) of cleaned copies, as text files in ``out``, of the files in ``folder``."""
+    cleaned = clean_corpus(read_texts(spark, folder), "name", lexicon=lexicon)
+    write_texts(cleaned, out, text="cleaned")
+    return read_texts(spark, out)
