@@ -316,8 +316,6 @@ _OTHER = r"doc_id % 2 = 1 AND NOT regexp_matches(text, '[^\x{0}-\x{ff}]')"
 _FILES = rf"""files AS (SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN {_OTHER}
   THEN regexp_replace(text, '[\x{{80}}-\x{{ff}}]', '', 'g') ELSE coalesce(text, '') END AS text FROM documents)"""
 ORACLE["text_files_round_trip"] = f"WITH {_FILES} SELECT name, text FROM files"
-ORACLE["clean_text_files"] = f"""WITH {_FILES} SELECT name, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z]+'),
-  lambda x: length(x) > 2 AND x NOT IN ({_list(lx.STOPWORDS)})), ' ') AS text FROM files"""
 ORACLE["corpus_upsert"] = """
   WITH u AS (SELECT source || '/' || doc_id % 50 AS name, text, 0 AS s FROM documents
              UNION ALL SELECT 'src1/' || item_id, text, 1 FROM benchmark)

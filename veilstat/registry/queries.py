@@ -361,12 +361,6 @@ def text_files_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return sc.read_texts(spark, _text_folder(spark, sf))
 
 
-@query
-def clean_text_files(spark: SparkSession, sf: str) -> DataFrame:
-    folder = _text_folder(spark, sf)
-    return sc.clean_text_files(spark, folder, f"{folder}-clean")
-
-
 @query
 def html_to_text_all(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf, text=pg.html_to_text_all(F.col("html")))
