@@ -144,7 +144,7 @@ def test_alignment_equals_brute_force():
             text[at : at + (kind < 0.7)] = [] if 0.4 < kind < 0.7 else [draw.choice(letters)]
         text = word(draw.choice([0, 3, 40])) + "".join(text) + word(draw.choice([0, 2, 30]))
         items = decontam.Items([(1, item)])
-        if not len(items.ids):
+        if not len(items.codes):
             continue
         plain = ["".join(map(chr, c)) for c in (items.codes[0], decontam.normal(text))]
         edits = _least_edits(*plain)
@@ -156,6 +156,7 @@ def test_alignment_equals_brute_force():
 
 def test_benchmark_passages(spark, frame, odd_rows, monkeypatch):
     monkeypatch.setattr(decontam, "PORTION", 500)
+    monkeypatch.setattr(decontam, "ENTRIES", 300)
     items = [(i, sentence(500 + i, 40)) for i in range(6)] + [(6, None), (7, "short"), (None, sentence(900, 30))]
     edited = items[1][1].replace("the", "a", 1).replace("river", "rivers", 1)
     rows = odd_rows + [
@@ -181,6 +182,36 @@ def test_benchmark_passages(spark, frame, odd_rows, monkeypatch):
     assert decontam.decontaminate(frame(rows), benchmark.limit(0)).count() == len(rows)
 
 
+def test_parts_of_long_items_and_short_items(spark, frame):
+    long = sentence(700, 120)
+    words = long.split()
+    items = [(1, long), (2, "42 km"), (None, "Zürich!"), (4, "???"), (5, "x9"), (5, "x9 "), (6, sentence(701, 50))]
+    rows = [
+        (10, sentence(1, 80) + " " + " ".join(words[13:87]) + " " + sentence(2, 90)),
+        (11, " ".join(words[30:75])),
+        (12, long + " and " + long.replace("the", "a", 1)),
+        (13, "It is 42  KM."), (14, "a42 km, 42 kmh, 42 k m"), (15, "in zürich"), (16, "x9"), (17, ""), (18, None),
+        (19, " ".join(sentence(701, 50).split()[:40])),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(str, map(tuple, decontam.find(frame(rows), benchmark).collect())))
+    assert got == sorted(map(str, [
+        (10, 1, 0, False), (12, 1, 0, True), (13, 2, 0, True), (15, None, 0, True), (16, 5, 0, True), (16, 5, 0, True)
+    ]))
+    left = sorted(r.doc_id for r in decontam.decontaminate(frame(rows), benchmark).collect())
+    assert left == [11, 14, 17, 18, 19]
+
+
+def test_portions_of_places_count_alike(monkeypatch):
+    items = decontam.Items([(i, sentence(40 + i // 4, 60) + f" {i}") for i in range(40)])
+    codes = decontam.normal(sentence(1, 30) + " " + sentence(43, 60) + " 13 " + sentence(45, 60))
+    want = [x.tolist() for x in items.regions(codes)]
+    assert len(want[0])
+    for entries in (1, 7, 1000):
+        monkeypatch.setattr(decontam, "ENTRIES", entries)
+        assert [x.tolist() for x in items.regions(codes)] == want
+
+
 @pytest.mark.parametrize("block_bytes", [topk.BLOCK_BYTES, 500])
 def test_top_k_equals_brute_force(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(topk, "TILE", 7)

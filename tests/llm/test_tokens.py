@@ -120,6 +120,17 @@ def test_store_round_trip(spark, frame, odd_rows, reference, shard_bytes):
     assert found == {k: reference(t) for k, t in odd_rows if k in (5, -3, 1 << 40)}
 
 
+def test_thousands_of_keys_and_equal_keys(spark, frame, reference):
+    path = shared_path(spark, "store")
+    rows = [(3 * i, f"text {i}") for i in range(4000)] + [(600, "text 200")] * 50
+    keyed_store.write_store(frame(rows, 4), path, shard_bytes=400)
+    asked = [*range(0, 12_000, 2), 600, 600, None, -5, 10**12]
+    got = keyed_store.fetch(spark, path, asked).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 12_000, 6))
+    assert all(r.ids == reference(f"text {r.doc_id // 3}") for r in got[:50])
+    assert keyed_store.fetch(spark, path, []).count() == 0
+
+
 def test_store_of_an_empty_table(spark, frame):
     path = shared_path(spark, "store")
     keyed_store.write_store(frame([(1, "x")]).limit(0), path)

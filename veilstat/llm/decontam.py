@@ -16,6 +16,10 @@ from veilstat.llm.common import text_batches
 Q = 8
 #: Share of an item's characters that may be edited.
 EDITS = 0.1
+#: Words of the windows that are searched of longer items, and words between their beginnings.
+WINDOW, STEP = 50, 25
+#: Places of shared q-grams that are counted at once.
+ENTRIES = 1 << 22
 #: Characters of benchmark items that one pass over the documents takes along.
 BLOCK_CHARS = 4_000_000
 #: Characters of documents that a worker searches at once.
@@ -53,13 +57,48 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _windows(codes: np.ndarray) -> list[np.ndarray]:
+    """Overlapping windows of an item of more than ``WINDOW`` words, the last up to its end."""
+    starts = np.append(0, np.flatnonzero(codes == 32) + 1)
+    stops = np.append(starts[1:] - 1, len(codes))
+    last = len(starts) - WINDOW
+    if last <= 0:
+        return []
+    return [codes[starts[i] : stops[i + WINDOW - 1]] for i in sorted({*range(0, last, STEP), last})]
+
+
+def _word_hashes(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(starts), np.uint64)
+        for i in range(length):
+            out = (out + codes[starts + i].astype(np.uint64) + np.uint64(1)) * _SPREAD
+    return out
+
+
 class Items:
-    """Benchmark items of one block, indexed by q-gram."""
+    """Benchmark items of one block: long ones and their windows by q-gram, short ones by hash.
+
+    Entries are numbered, the long ones first; ``owners`` has the item of each
+    and ``whole`` whether it is the item or a window of it.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
-        found = [(k, codes) for k, t in items if len(codes := normal(t)) >= Q]
-        self.ids = np.array([k for k, _ in found], np.int64)
-        self.codes = [c for _, c in found]
+    def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS):
+        self.ids = [k for k, _ in items]
+        texts = [normal(t) for _, t in items]
+        found = [(n, True, c) for n, c in enumerate(texts) if len(c) >= Q]
+        found += [(n, False, c) for n, _, codes in found for c in _windows(codes)]
+        short = [(n, c) for n, c in enumerate(texts) if 0 < len(c) < Q]
+        self.owners = [n for n, _, _ in found] + [n for n, _ in short]
+        self.whole = [w for _, w, _ in found] + [True] * len(short)
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for entry, (_, c) in enumerate(short, len(found)):
+            self.short.setdefault(len(c), {}).setdefault(c.astype(np.uint32).tobytes(), []).append(entry)
+        self.short_hashes = {}
+        for length, known in self.short.items():
+            rows = [np.frombuffer(k, np.uint32) for k in known]
+            hashes = [_word_hashes(r, np.zeros(1, np.int64), length)[0] for r in rows]
+            self.short_hashes[length] = np.array(hashes, np.uint64)
+        self.codes = [c for _, _, c in found]
         self.size = np.array([len(c) for c in self.codes], np.int64)
         # An edit spoils Q q-grams at most; the budget leaves one at least to be shared.
         self.edits = np.minimum((edits * self.size).astype(np.int64), (self.size - Q) // Q)
@@ -99,19 +138,54 @@ class Items:
         gram = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
         same = self.grams[gram] == hashes[at]
         at, gram = at[same], gram[same]
+        wide = len(codes) + self.margin + 2
+        # A q-gram that many items share has many places: they are counted a portion at a time.
+        portion = np.cumsum(self.count[gram]) // ENTRIES
+        cuts = np.append(np.flatnonzero(np.diff(portion, prepend=-1)), len(at))
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            some, m = np.unique(self._bands(at[low:high], gram[low:high], wide), return_counts=True)
+            if len(keys):
+                keys, where = np.unique(np.concatenate([keys, some]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n, m]), len(keys)).astype(np.int64)
+            else:
+                keys, n = some, m
+        item, band = keys // (2 * wide), keys % (2 * wide) - wide
+        enough = n >= self.need[item]
+        return item[enough], band[enough]
+
+    def _bands(self, at: np.ndarray, gram: np.ndarray, wide: int) -> np.ndarray:
+        """(item, band) as one number, for each place of a shared q-gram the two bands it lies in."""
         times = self.count[gram]
         entry = np.repeat(self.start[gram] - (np.cumsum(times) - times), times)
         entry += np.arange(len(entry))
         item = self.owner[entry]
-        diagonal = np.repeat(at, times) - self.place[entry]
-        step = self.edits[item] + 1
-        band = diagonal // step
-        wide = len(codes) + self.margin + 2
+        band = (np.repeat(at, times) - self.place[entry]) // (self.edits[item] + 1)
         key = item * (2 * wide) + band + wide
-        keys, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        item, band = keys // (2 * wide), keys % (2 * wide) - wide
-        enough = n >= self.need[item]
-        return item[enough], band[enough]
+        return np.concatenate([key, key - 1])
+
+    def words(self, codes: np.ndarray) -> list[int]:
+        """Entries of the short items that stand in the text as whole words."""
+        found: list[int] = []
+        if not self.short or not len(codes):
+            return found
+        starts = np.append(0, np.flatnonzero(codes == 32) + 1)
+        ended = np.append(codes == 32, True)
+        for length, known in self.short.items():
+            fit = starts[starts + length <= len(codes)]
+            fit = fit[ended[fit + length]]
+            fit = fit[np.isin(_word_hashes(codes, fit, length), self.short_hashes[length])]
+            for text in {codes[i : i + length].astype(np.uint32).tobytes() for i in fit.tolist()}:
+                found += known.get(text, [])
+        return found
+
+    def best(self, found: dict[int, int]) -> list[tuple[int | None, int, bool]]:
+        """(id, edits, whole) of each item found: of the whole if that is there, else of its best window."""
+        least: dict[int, tuple[bool, int]] = {}
+        for entry, edits in found.items():
+            new = (not self.whole[entry], edits)
+            least[self.owners[entry]] = min(new, least.get(self.owners[entry], new))
+        return [(self.ids[n], edits, not part) for n, (part, edits) in least.items()]
 
     def align(self, codes, item, band, low, high) -> np.ndarray:
         """Least edits of each item against any stretch of codes[low:high] in its band."""
@@ -192,7 +266,9 @@ def _search_batch(items: Items, texts: pa.Array) -> list[dict[int, int]]:
                 out[owner][k] = min(edits, out[owner].get(k, edits))
 
     for i, text in enumerate(texts):
-        for part in _stretches(normal(text.as_py()), items.margin):
+        codes = normal(text.as_py())
+        out[i].update(dict.fromkeys(items.words(codes), 0))
+        for part in _stretches(codes, items.margin):
             if len(part) < Q:
                 continue
             held.append(part)
@@ -215,7 +291,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
         one = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number)
         rows = sorted(one.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if rows:
-            yield [(-1 if r[0] is None else r[0], r[1]) for r in rows]
+            yield [(r[0], r[1]) for r in rows]
 
 
 _ITEMS: dict = {}
@@ -236,21 +312,28 @@ def _send(spark, rows: list):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, edits): the benchmark items that a document holds.
+    """(doc_id, item_id, edits, whole): the benchmark items that a document holds.
 
     An item is held if some stretch of the document differs from it by at most
     ``edits`` of the item's characters, both lower-cased and with runs of other
     characters than letters and digits as one space.  Stretches that share too
     few q-grams for that are left out by the q-gram lemma, the others aligned.
 
-    Items shorter than 8 characters after that, and null ones, are not searched;
-    below 80 characters the budget shrinks so that one shared q-gram is left.
+    Of an item of more than 50 words, windows of 50 words that begin at every
+    25th are searched too, each with its own budget: any 74 of its words in a row
+    hold a window.  ``whole`` tells whether the item is there; if not, ``edits``
+    are those of its best window.  Items shorter than 8 characters are held where
+    they stand as whole words, unedited; from there to 80 characters the budget
+    shrinks so that one shared q-gram is left.  Null items and those without a
+    letter or digit are not searched.
+
     Null and empty texts hold nothing.  Rows with equal ids are searched each;
-    an item with a null id is reported as -1.  Benchmark items are taken in
+    null ids are reported as null.  Benchmark items are taken in
     blocks, each broadcast and passed over all documents; other columns are
     ignored; an empty table on either side gives an empty result.
     """
-    spark, schema = docs.sparkSession, "doc_id long, item_id long, edits long"
+    spark, schema = docs.sparkSession, "doc_id long, item_id long, edits long, whole boolean"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def one_block(block: list) -> DataFrame:
@@ -259,14 +342,13 @@ def find(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_char
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = _cached(sent, edits)
             for batch in batches:
-                ids, held, least = [], [], []
-                for doc_id, found in zip(batch.column(0), _search_batch(items, batch.column(1))):
-                    for k, n in found.items():
-                        ids.append(doc_id.as_py())
-                        held.append(int(items.ids[k]))
-                        least.append(n)
-                columns = [pa.array(c, pa.int64()) for c in (ids, held, least)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "edits"])
+                hits = [
+                    (doc_id.as_py(), *hit)
+                    for doc_id, found in zip(batch.column(0), _search_batch(items, batch.column(1)))
+                    for hit in items.best(found)
+                ]
+                columns = [pa.array([h[i] for h in hits], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "edits", "whole"])
 
         return text_batches(rows).mapInArrow(each, schema)
 

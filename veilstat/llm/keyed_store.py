@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -228,25 +230,45 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return found.join(starts, "part").select("doc_id", start, "n_tokens", "ids_crc32")
 
 
+def _ranges(keys: list[int], most: int = 64) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all sorted keys, cut at the widest gaps."""
+    gaps = sorted(range(1, len(keys)), key=lambda i: keys[i - 1] - keys[i])[: most - 1]
+    cuts = [0, *sorted(gaps), len(keys)]
+    return [(keys[a], keys[b - 1]) for a, b in zip(cuts, cuts[1:])]
+
+
 def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the documents asked for; keys that are not stored give no row.
+    """(doc_id, ids), one row for each document asked for; keys that are not stored give no row.
 
-    Only shards whose range of keys holds one of them are read; within a shard
-    each key costs one look at the hash.  Of equal keys the first is given.
+    Shards outside of a few ranges of keys are not read.  Of the others the
+    ranges alone tell the first shard that can hold a key; only from those the
+    payload is read, and there each key costs one look at the hash.  Of rows
+    with equal keys the first is given.
     """
-    wanted = sorted(set(doc_ids))
-    near = F.lit(False)
-    for key in wanted:
-        near = near | F.lit(key).between(F.col("first_key"), F.col("last_key"))
+    schema = "doc_id long, ids array<long>"
+    wanted = sorted({k for k in doc_ids if k is not None})
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    spans = [(F.col("first_key") <= high) & (F.col("last_key") >= low) for low, high in _ranges(wanted)]
+    store = spark.read.parquet(path).filter(functools.reduce(operator.or_, spans))
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.array(wanted, "<i8")
+        for batch in batches:
+            part, shard, first, last = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            low = np.searchsorted(keys, first)
+            n = np.searchsorted(keys, last, "right") - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            columns = [keys[at], np.repeat(part, n), np.repeat(shard, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "part", "shard"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.array(wanted, "<i8")
-        none = np.zeros(len(keys), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard({n: batch.column(k)[i].as_py() for k, n in enumerate(_READ)})
-                slots = shard.find(keys, none, none)
-                hits = [(int(k), shard.ids(s)) for k, s in zip(keys, slots) if s >= 0]
+                keys = np.array(batch.column(len(_READ))[i].as_py(), "<i8")
+                none = np.zeros(len(keys), np.int64)
+                hits = [(int(k), shard.ids(s)) for k, s in zip(keys, shard.find(keys, none, none)) if s >= 0]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k for k, _ in hits], pa.int64()),
@@ -255,5 +277,10 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                     names=["doc_id", "ids"],
                 )
 
-    shards = spark.read.parquet(path).filter(near).select(*_READ)
-    return shards.mapInArrow(look_up, "doc_id long, ids array<long>")
+    place = [F.col(c).cast("long").alias(c) for c in ("part", "shard")]
+    held = store.select(*place, "first_key", "last_key").mapInArrow(holders, "key long, part long, shard long")
+    first = held.groupBy("key").agg(F.min(F.struct("part", "shard")).alias("at"))
+    # As many rows as keys were asked for, at most.
+    asked = first.groupBy("at").agg(F.collect_list("key").alias("asked")).select("at.*", "asked")
+    shards = store.join(F.broadcast(asked), ["part", "shard"]).select(*_READ, "asked")
+    return shards.mapInArrow(look_up, schema)
