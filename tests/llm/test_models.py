@@ -292,6 +292,28 @@ def test_pages_by_hand(spark):
         assert (got[i].text, got[i].n_chars) == (text, len(text)), i
 
 
+def test_an_article_beside_a_teaser_and_sections_with_anchors(spark):
+    text = sentence(3, 60)
+    pages = [
+        (f"<nav>m</nav><article><h2>Teaser</h2></article><div class=content><p>{text}</p></div>", f"Teaser {text}"),
+        ("<article><p>one</p><section id=discussion><p>two</p></section><section id='legal'>three</section>"
+         "<section id=comments>bad</section><section id=x class=related>bad</section></article>", "one two three"),
+        (f"<article><p>{text}</p></article><div><p>short aside</p></div>", text),
+    ]
+    got = _extract(spark, [(i, f"http://t{i}.example.org/", page) for i, (page, _) in enumerate(pages)])
+    assert [got[i].text for i in range(len(pages))] == [text for _, text in pages]
+
+
+def test_many_removed_blocks_are_joined_alike(spark, monkeypatch):
+    rows = [_page(i, f"<h2>Title {i}</h2><p>{sentence(i, 30)}</p>") for i in range(8)]
+    rows += [(None, None, "<p>a</p>"), (1, "u", None), *rows[:3]]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], PAGE_SCHEMA)
+    want = sorted(map(str, html_tree.extract(frame).collect()))
+    monkeypatch.setattr(html_tree, "BROADCAST_BLOCKS", 0)
+    got = sorted(map(str, html_tree.extract(frame).collect()))
+    assert got == want and len(got) == len(rows) and "Weather" not in "".join(got)
+
+
 def test_odd_pages(spark):
     long = "<article>" + "".join(f"<p>{sentence(i, 50)}</p>" for i in range(400))
     rows = [(1, None, "<p>a</p>"), (None, "u", "<p>b</p>"), (2, "u", None), (2, "u", "<p>c</p>"), (3, "u", long)]

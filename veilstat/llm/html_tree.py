@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -23,7 +24,10 @@ PAGES_OUTSIDE, PAGES_INSIDE = 3, 5
 #: Number of pages at which a block's content and a node's styles are measured; with larger
 #: hosts the share of pages at which a block goes stays the same.
 SCALE = 10
-#: Removed blocks that are broadcast; more are joined by site.
+#: Text outside of all article elements, as a multiple of the text inside, from which on they
+#: are taken for teasers and the page counts as one without.
+TEASER = 3
+#: Removed blocks that are broadcast; more are joined with the blocks of the pages.
 BROADCAST_BLOCKS = 200_000
 
 # Element names.
@@ -64,6 +68,9 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+# A section's id inside an article is its anchor, unless it names the readers' comments.
+_ANCHOR = re.compile(r"(?<![\w-])id\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+_COMMENTS = re.compile(r"comment|respond|disqus|repl(?:y|ies)", re.IGNORECASE)
 _HIDDEN = re.compile(
     r"(?:^|\s)hidden(?=[\s=/>]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE
 )
@@ -167,6 +174,10 @@ def parse(page: str) -> tuple[_Element, list[tuple[_Element, str, int, int]]]:
         noise = _noise(tag, attributes)
         if tag == "header" and any(e.tag == "article" for e in stack):
             noise = bool(attributes) and _noise("div", attributes)
+        if noise and tag == "section" and any(e.main for e in stack):
+            anchor = _ANCHOR.search(attributes)
+            if anchor and not _COMMENTS.search(anchor.group(0)):
+                noise = _noise(tag, _ANCHOR.sub("", attributes))
         one = _Element(tag, at, noise)
         if tag not in INLINE:
             owner = at
@@ -230,13 +241,16 @@ def describe(page: str | None, host: str) -> tuple[list, list, list, int]:
             up = up.parent
         if not dropped and (inside or linked <= 0.6 * size):
             kept.append((inside, owner, text))
-    if any(inside for inside, _, _ in kept):
+    within = sum(len(text) for inside, _, text in kept if inside)
+    if sum(len(text) for inside, _, text in kept if not inside) >= TEASER * within:
+        kept = [(False, owner, text) for _, owner, text in kept]
+    else:
         kept = [k for k in kept if k[0]]
     out = []
     for inside, owner, text in kept:
         value = _hash(text)
         facts.add((owner.key, 3 if inside else 2, value))
-        out.append((_hash(owner.key, value), text))
+        out.append((owner.key ^ value, text))
     mark = _hash(*sorted({_hash(t) for _, t in out}))
     return [k for k, _ in out], [t for _, t in out], sorted(facts), mark
 
@@ -251,21 +265,24 @@ def extract(pages: DataFrame) -> DataFrame:
     navigation, advertising, comments and the like.  With a single page there is
     nothing to compare, and the markup decides.
 
-    If a page has an article or main element with text, only that is taken.
+    If a page has an article or main element with text, only that is taken, unless
+    the page has three times as much outside: then it is a teaser beside the text,
+    and the site's tree judges all blocks alike.
     Text is decoded, white space becomes one space, blocks are joined by one
     space in page order.  Null and empty pages have an empty text; a null url is
     a host of its own; rows with equal or null ``page_id`` are extracted each;
     other columns are ignored; an empty table gives an empty result.
     """
-    names = ["page_id", "url", "host", "mark", "keys", "texts", "nodes", "kinds", "values"]
+    names = ["row", "page_id", "url", "host", "mark", "keys", "texts", "nodes", "kinds", "values"]
     schema = (
-        "page_id long, url string, host long, mark long, keys array<long>, texts array<string>,"
+        "row long, page_id long, url string, host long, mark long, keys array<long>, texts array<string>,"
         " nodes array<long>, kinds array<int>, values array<long>"
     )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs, texts, ints = pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), longs, texts, longs, ints, longs]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), longs, texts, longs, ints, longs]
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 rows = []
@@ -273,7 +290,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 for page_id, url, host, page in zip(*(c.to_pylist() for c in part.columns)):
                     keys, found, facts, mark = describe(page, host)
                     nodes, kinds, values = zip(*facts)
-                    rows.append((page_id, url, _hash(host), mark, keys, found, nodes, kinds, values))
+                    number += 1
+                    rows.append((number, page_id, url, _hash(host), mark, keys, found, nodes, kinds, values))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -308,13 +326,20 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def _without(parsed: DataFrame, low: DataFrame) -> DataFrame:
-    """Texts of pages without the blocks of ``low``."""
-    key = F.udf(lambda n, v: _hash(n, v), "long")
-    low = low.select("host", key("nodes", "values").alias("key"))
-    removed = low.groupBy("host").agg(F.collect_set("key").alias("removed"))
+    """Texts of pages without the blocks of ``low``.
+
+    Few blocks are broadcast by host.  Many meet the pages' blocks by their own
+    keys, without texts; the pages then get theirs back by row, so nothing is
+    joined by host and no list is longer than a page's.
+    """
+    low = low.select("host", F.col("nodes").bitwiseXOR(F.col("values")).alias("key"))
     if low.count() <= BROADCAST_BLOCKS:
-        removed = F.broadcast(removed)
-    joined = parsed.join(removed, "host", "left")
+        removed = F.broadcast(low.groupBy("host").agg(F.collect_set("key").alias("removed")))
+        joined = parsed.join(removed, "host", "left")
+    else:
+        shown = parsed.select("row", F.explode(F.array_distinct("keys")).alias("key"))
+        gone = shown.join(low.select("key").distinct(), "key", "left_semi")
+        joined = parsed.join(gone.groupBy("row").agg(F.collect_list("key").alias("removed")), "row", "left")
     blocks = F.arrays_zip("keys", "texts")
     kept = F.filter(blocks, lambda b: ~F.coalesce(F.array_contains("removed", b["keys"]), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["texts"]), " ")
