@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veilstat.functions import readability as rd
 from veilstat.functions import text as tx
+from veilstat.functions.counting import COUNTS, LEXICAL, document_counts
 from veilstat.operators.features import median_impute, zscore
-from veilstat.operators.lexical import lookup, word_aggregates, word_counts, zipf_aggregates
+from veilstat.operators.lexical import sums_of_items, word_counts, word_sums, zipf_sums
 from veilstat.session import cut_lineage
 from veilstat.sources.corpus import BROADCAST_BYTES
 from veilstat.sources.snapshots import first_last_per_period
@@ -38,15 +39,20 @@ def readability(docs: DataFrame, key: str, words: DataFrame, text: str = "text")
     grouping columns, so the text is read once and never shuffled.
     """
     c = F.col(quoted(text))
-    counted = docs.select(key, tx.n_words(c).alias("n_words"), tx.n_sents(c).alias("n_sents"), tx.words(c).alias("_words"))
-    rows = counted.select(key, "n_words", "n_sents", F.explode_outer("_words").alias("word"))
-    looked = lookup(rows, words.select("word", "easy", "syllables"), "word")
-    per_doc = looked.groupBy(key, "n_words", "n_sents").agg(
-        *[e.alias(n) for n, e in word_aggregates().items()]
+    counted = docs.select(key, tx.n_sents(c).alias("n_sents"), document_counts(c).alias("_counts"))
+    rows = counted.select(key, F.col("_counts.n_words").alias("n_words"), "n_sents", F.explode_outer("_counts.items").alias("_item"))
+    per_doc = sums_of_items(
+        rows.select(key, "n_words", "n_sents", "_item.*"), _entries(words), [key, "n_words", "n_sents"], word_sums()
     )
     return per_doc.select(key, *[e.alias(n) for n, e in rd.word_indices().items()])
 
 
+def _entries(words: DataFrame) -> DataFrame:
+    """A list of words without zipf values is one whose words are all equally frequent."""
+    zipf = F.col("zipf") if "zipf" in words.columns else F.lit(None).cast("double").alias("zipf")
+    return words.select("word", "easy", "syllables", zipf)
+
+
 def lexical_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = docs.select(key, tx.tokens(F.col(quoted(text))).alias("_tokens"))
     return tx.with_lexical_stats(found, "_tokens").drop("_tokens")
@@ -55,54 +61,46 @@ def lexical_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def corpus_metrics(docs: DataFrame, key: str, words: DataFrame, text: str = "text") -> DataFrame:
     """One metrics record per document.
 
-    ``words`` is a list (word, easy, syllables, zipf), see ``word_list``. Words
-    and tokens of a document meet it in one pass; what shuffles is one partial
-    record per document. The document's own columns travel on one row of it, the
-    others carry the key and a word.
+    ``words`` is a list (word, easy, syllables, zipf), see ``word_list``. The
+    distinct words and tokens of a document meet it in one pass; what shuffles is
+    one partial record per document, and the rare words if the list is long.
     """
-    c = F.col(quoted(text))
-    counts = tx.basic_counts(c) | tx.index_counts(c)
-    counted = docs.select(
-        key,
-        *[e.alias(n) for n, e in counts.items()],
-        tx.tokens(c).alias("_tokens"),
-        tx.words(c).alias("_words"),
-    )
-    wide = tx.with_lexical_stats(counted.withColumns(rd.exact_indices()), "_tokens")
-    tagged = F.concat(
-        F.transform("_words", lambda w: F.struct(F.lit(True).alias("is_word"), w.alias("word"))),
-        F.transform("_tokens", lambda t: F.struct(F.lit(False).alias("is_word"), t.alias("word"))),
-    )
-    own = F.array(F.struct(F.lit(None).cast("boolean").alias("is_word"), F.lit(None).cast("string").alias("word")))
-    record = F.struct(*_COUNTS, *_LEXICAL)
-    rows = wide.select(key, record.alias("_record"), F.posexplode(F.concat(own, tagged)).alias("_pos", "_item")).select(
-        key,
-        F.when(F.col("_pos") == 0, F.col("_record")).alias("_record"),
-        F.col("_item.is_word").alias("is_word"),
-        F.col("_item.word").alias("word"),
-    )
-    looked = lookup(rows, words.select("word", "easy", "syllables", "zipf"), "word")
-    is_word = F.coalesce(F.col("is_word"), F.lit(False))
-    is_token = F.coalesce(~F.col("is_word"), F.lit(False))
-    aggregates = word_aggregates(is_word) | zipf_aggregates(is_token)
-    per_doc = looked.groupBy(key).agg(
-        *[F.max(F.when(F.col("_record").isNotNull(), F.col(f"_record.{c}"))).alias(c) for c in (*_COUNTS, *_LEXICAL)],
-        *[e.alias(n) for n, e in aggregates.items()],
+    return _metrics(docs, key, words, text).select(key, *METRICS)
+
+
+def _metrics(docs: DataFrame, key: str, words: DataFrame, text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """Metrics, and ``carried`` columns of the documents; those and what is counted
+    in the text travel on one row of a document, the others carry the key and a word."""
+    c, carried = F.col(quoted(text)), carried or []
+    counted = docs.filter(c.isNotNull()).select(
+        key, *carried, F.length(c).cast("bigint").alias("n_chars"), tx.n_sents(c).alias("n_sents"), document_counts(c).alias("_counts")
     )
-    return per_doc.withColumns(rd.word_indices()).select(key, *METRICS)
+    wide = counted.withColumns({n: F.col(f"_counts.{n}") for n in (*COUNTS, *LEXICAL)}).withColumns(rd.exact_indices())
+    record = [*_COUNTS, *_LEXICAL, *carried]
+    no_item = F.lit(None).cast("struct<word:string,n_word:bigint,n_token:bigint>")
+    items = F.posexplode(F.concat(F.array(no_item), F.col("_counts.items"))).alias("_pos", "_item")
+    rows = wide.select(key, F.struct(*record).alias("_record"), items)
+    own = F.when(F.col("_pos") == 0, F.col("_record"))
+    rows = rows.select(key, *[own[n].alias(n) for n in record], "_item.*")
+    per_doc = sums_of_items(rows, _entries(words), [key], word_sums() | zipf_sums(), record)
+
+    def share(name: str):
+        return F.coalesce(F.try_divide(F.col(name).cast("double"), F.col("_tokens").cast("double")), F.lit(0.0))
+
+    return per_doc.withColumns(rd.word_indices() | {"avg_zipf": share("_zipf"), "rare_frac": share("_rare")})
 
 
 def history_metrics(snapshots: DataFrame, words: DataFrame) -> DataFrame:
     """Metrics of dated snapshots (see ``read_snapshots``) with their dates, by date.
 
-    Two files of one date share their name, so a row is known by all of its
-    fields, which travel as the key; nothing is joined back.
+    Two files of one date share their name, so a row is known by a number; its
+    fields travel with it and nothing is joined back.
     """
     fields = ["name", "year", "timestamp", "date", "source_file"]
     dated = snapshots.withColumn("year", F.year("date"))
-    keyed = dated.select(F.struct(F.monotonically_increasing_id().alias("row"), *fields).alias("_snapshot"), "text")
-    # The row numbers must not change between the two passes over the texts.
-    out = corpus_metrics(cut_lineage(keyed), "_snapshot", words)
+    keyed = dated.select(F.monotonically_increasing_id().alias("_row"), F.struct(*fields).alias("_snapshot"), "text")
+    # The texts are read once, so the row numbers need not be kept.
+    out = _metrics(keyed, "_row", words, carried=["_snapshot"])
     return out.select(*[f"_snapshot.{c}" for c in fields], *METRICS).orderBy("timestamp", "source_file")
 
 
