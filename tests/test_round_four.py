@@ -3,7 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 
+from veilstat.operators import learn as ln
 from veilstat.operators import textsim as ts
 from veilstat.operators.spaces import Cosine
 
@@ -49,3 +52,24 @@ def test_texts_are_dealt_once_for_their_vectors(spark):
     rows = {r["id"]: r["w"] for r in vectors.collect()}
     assert {x: len(w) for x, w in rows.items()} == {1: 2, 2: 2, None: 2}
     assert max(rows[None]) == pytest.approx(2 * (np.log(5 / 2) + 1))
+
+
+def test_runs_move_in_common_passes_and_end_where_spark_ends(spark, monkeypatch):
+    monkeypatch.setattr(ln, "BLOCK_ROWS", 50)
+    passes = []
+    monkeypatch.setattr(ln, "_moments", lambda c, moments=ln._moments: passes.append(len(c)) or moments(c))
+    x = np.random.default_rng(2).normal(size=(400, 2))
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "k int, v array<double>").repartition(3)
+    ready = points.withColumn("_x", array_to_vector("v")).localCheckpoint()
+    runs = ln._settled(ready, "v", [ln._start(ready, 4, seed) for seed in range(3)], 1e-6)
+    own = [KMeans(k=4, seed=seed, featuresCol="_x", tol=1e-6, maxIter=500).fit(ready) for seed in range(3)]
+    for (centers, cost), model in zip(runs, own):
+        assert centers == pytest.approx(np.array(model.clusterCenters()), abs=1e-5)
+        assert cost == pytest.approx(model.summary.trainingCost, rel=1e-6)
+    assert passes[0] == 3 and len(passes) == max(m.summary.numIter for m in own)
+
+
+def test_clusters_of_fewer_points_than_clusters(spark):
+    points = spark.createDataFrame([(1, [0.0, 0.0]), (2, [5.0, 1.0]), (3, [0.0, 0.0]), (4, [5.0, 1.0])], "k int, v array<double>")
+    got = {r.k: r.cluster_label for r in ln.cluster(points, "v", key="k", restarts=2).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1}
