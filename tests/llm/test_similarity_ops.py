@@ -87,6 +87,42 @@ def test_links_of_random_marks(spark, monkeypatch, crowded, max_bits):
     assert all(root.get(m, m) == min(label[m]) for (m,) in signed)
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _plans_written(monkeypatch) -> dict[str, str]:
+    """From now on, the plans of the tables that simhash writes, by name."""
+    plans, write = {}, simhash.written
+
+    def note(df, name):
+        plans[name] = _plan(df)
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", note)
+    return plans
+
+
+def test_exploded_fingerprints_are_not_broadcast(spark, monkeypatch):
+    plans = _plans_written(monkeypatch)
+    draw = random.Random(5)
+    marks = [(draw.getrandbits(63),) for _ in range(50)]
+    links = simhash.links(spark.createDataFrame([*marks, (marks[0][0] ^ 1,)], "bits long"))
+    assert "Broadcast" not in plans["cells"] + _plan(links)
+    assert [tuple(r) for r in links.collect()] == [tuple(sorted((marks[0][0], marks[0][0] ^ 1)))]
+
+
+def test_many_documents_are_kept_without_estimates(frame, monkeypatch):
+    rows = _near_rows() + [(None, "no id here"), (None, "no id here"), (9, "another text")]
+    want = simhash.keep_one(frame(rows)).collect()
+    monkeypatch.setattr(simhash, "ESTIMATED_ROWS", 0)
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    plans = _plans_written(monkeypatch)
+    kept = simhash.keep_one(frame(rows))
+    assert "Broadcast" not in "".join(plans.values()) + _plan(kept)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("ids", [simhash.BROADCAST_IDS, 0])
 def test_one_of_each_group_stays(spark, frame, monkeypatch, ids):
     monkeypatch.setattr(simhash, "BROADCAST_IDS", ids)

@@ -19,6 +19,8 @@ SEGMENTS = 16
 CROWDED = 64
 #: Ids that are broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
+#: Documents, or links, up to which Spark may broadcast a side of a join by its own estimate.
+ESTIMATED_ROWS = 250_000
 STRETCH = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -100,6 +102,15 @@ def _near_cells(counts: Column) -> Column:
     return F.array_compact(F.array(*cells))
 
 
+def _sorted_join(side: DataFrame, rows: int | None = None) -> DataFrame:
+    """``side`` of a join that sorts both sides, unless there are few ``rows``.
+
+    Spark sizes a side by the files below it: rows that are exploded count as one,
+    and what files hold in two bytes takes fifty in a broadcast.
+    """
+    return side if rows is not None and rows <= ESTIMATED_ROWS else side.hint("merge")
+
+
 def links(marks: DataFrame, max_bits: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, that join all fingerprints at ``max_bits`` (0 to 2) or fewer.
 
@@ -120,7 +131,7 @@ def links(marks: DataFrame, max_bits: int = 2) -> DataFrame:
         return marks.select(F.col("bits").alias("a"), F.col("bits").alias("b")).limit(0)
     cells = marks.select("bits", F.explode(_near_cells(segment_counts(F.col("bits")))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("met")).filter("met > 1")
-    met = written(cells.join(shared, "cell"), "cells")
+    met = written(cells.join(_sorted_join(shared), "cell"), "cells")
 
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     few = met.filter(F.col("met") <= CROWDED).groupBy("cell").agg(F.collect_list("bits").alias("m"))
@@ -148,7 +159,7 @@ def links(marks: DataFrame, max_bits: int = 2) -> DataFrame:
         own = many.filter("own").select("cell", "at", F.col("bits").alias("a"))
     else:
         own = many.groupBy("cell", "at").agg(F.min("bits").alias("a"))
-    crowd = many.withColumnRenamed("bits", "b").join(own, ["cell", "at"]).select("a", "b")
+    crowd = many.withColumnRenamed("bits", "b").join(_sorted_join(own), ["cell", "at"]).select("a", "b")
     crowd = crowd.filter((F.col("a") < F.col("b")) & (apart <= max_bits))
     return close.union(crowd).distinct()
 
@@ -171,10 +182,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.join(_sorted_join(least, before[0]), "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
         # Now a < b; each b is tied to the least a, and so are its other a.
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(lowest, "b")
+        joined = large.join(_sorted_join(lowest, before[0]), "b")
         small = joined.select(F.col("m").alias("a"), "b").union(
             joined.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         )
@@ -187,13 +198,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots.distinct())
 
 
-def _groups(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Written fingerprints of documents, and (bits, root) of each fingerprint."""
+def _groups(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame, int]:
+    """Written fingerprints of documents, (bits, root) of each fingerprint, and the documents' number."""
     marks = written(fingerprints(docs, words), "marks")
+    rows = marks.count()
     nodes = marks.select("bits").distinct()
-    roots = components(links(nodes, max_bits))
+    roots = _sorted_join(components(links(nodes, max_bits)), rows)
     nodes = nodes.join(roots, nodes["bits"] == roots["node"], "left")
-    return marks, nodes.select("bits", F.coalesce("root", "bits").alias("root"))
+    return marks, nodes.select("bits", F.coalesce("root", "bits").alias("root")), rows
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -206,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     their rows (a group of null ids has a null component).  Columns other than
     ``doc_id`` and ``text`` are ignored.  An empty table gives an empty result.
     """
-    marks, nodes = _groups(docs, words, max_bits)
+    marks, nodes, _ = _groups(docs, words, max_bits)
     least = marks.groupBy("bits").agg(F.min("doc_id").alias("least")).join(nodes, "bits")
     tops = least.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = nodes.join(tops, "root").select("bits", "component_id")
@@ -216,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
 
 def _small(ids: DataFrame) -> DataFrame:
     """Marked for broadcast if there are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else _sorted_join(ids)
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -226,11 +238,11 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     of those that agree in both, the first by text stays.  Texts are not
     shuffled while the ids that go, and those that occur again, fit a broadcast.
     """
-    marks, nodes = _groups(docs, words, max_bits)
-    own = marks.groupBy("bits").agg(F.min("doc_id").alias("doc_id")).join(nodes, "bits")
+    marks, nodes, n = _groups(docs, words, max_bits)
+    own = marks.groupBy("bits").agg(F.min("doc_id").alias("doc_id")).join(_sorted_join(nodes, n), "bits")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "bits")
     kept = own.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.bits")
-    kept = written(kept, "kept")
+    kept = _sorted_join(written(kept, "kept"), n)
     counted = marks.groupBy("doc_id").agg(F.count("*").alias("n"))
     again = written(counted.filter("n > 1 or doc_id is null").select("doc_id"), "again")
 
@@ -258,8 +270,3 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     rows = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["bits"] == kept["bits"]), "left_semi")
     rows = rows.groupBy("id", "bits").agg(F.min_by("row", F.struct(f"row.{text}")).alias("row"))
     return plain.union(rows.select("row.*").toDF(*docs.columns))
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    """Marked for broadcast if there are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
