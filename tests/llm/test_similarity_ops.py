@@ -123,6 +123,14 @@ def test_many_documents_are_kept_without_estimates(frame, monkeypatch):
     assert sorted(map(str, kept.collect())) == sorted(map(str, want))
 
 
+def test_many_documents_are_grouped_without_estimates(frame, monkeypatch):
+    want = simhash.near_duplicates(frame(_near_rows())).collect()
+    monkeypatch.setattr(simhash, "ESTIMATED_ROWS", 0)
+    found = simhash.near_duplicates(frame(_near_rows()))
+    assert "Broadcast" not in _plan(found)
+    assert sorted(found.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("ids", [simhash.BROADCAST_IDS, 0])
 def test_one_of_each_group_stays(spark, frame, monkeypatch, ids):
     monkeypatch.setattr(simhash, "BROADCAST_IDS", ids)

@@ -218,10 +218,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     their rows (a group of null ids has a null component).  Columns other than
     ``doc_id`` and ``text`` are ignored.  An empty table gives an empty result.
     """
-    marks, nodes, _ = _groups(docs, words, max_bits)
-    least = marks.groupBy("bits").agg(F.min("doc_id").alias("least")).join(nodes, "bits")
+    marks, nodes, rows = _groups(docs, words, max_bits)
+    least = marks.groupBy("bits").agg(F.min("doc_id").alias("least")).join(_sorted_join(nodes, rows), "bits")
     tops = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = nodes.join(tops, "root").select("bits", "component_id")
+    labelled = nodes.join(_sorted_join(tops, rows), "root").select("bits", "component_id")
+    labelled = _sorted_join(labelled, rows)
     text = F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")
     return marks.join(labelled, "bits").select("doc_id", text, "component_id")
 
